@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import durable_path, table, text_or_empty
+from .language import fit, held_out, identify
 from .line_dedup import line_dedup
+from .media import feature_of, read, store
 from .mixing import mix
+from .packing import pack
 from .sharding import shard
+from .token_files import read_tokens, write_tokens
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,17 +28,54 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("cell_weight", 6).alias("cell_weight"), F.round("probability", 6).alias("probability"), "selected")
 
 
+def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), kind="byte", end_id=0, capacity=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = durable_path(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), kind="word", end_id=2)
+    return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(text_or_empty(), "utf-8"), 256).alias("kept_sha256"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.encode(text_or_empty(), "utf-8")
+    n = F.octet_length(text)
+    size = F.greatest(F.lit(576), F.ceil(n / 576) * 576)
+    padding = F.repeat(F.lit("ff"), (size - n).cast("int"))
+    payload = F.concat(text, F.unhex(padding))
+    rows = table(spark, sf_dir, "documents").select("doc_id", n.cast("bigint").alias("n_bytes"), payload.alias("payload"))
+    rows = read(store(rows, F.col("payload")).drop("payload"), F.col("media"))
+    back = F.col("stream.payload")
+    return rows.select(
+        "doc_id", "n_bytes", F.octet_length(back).cast("bigint").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(F.substring(back, -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature_of(F.col("stream")).alias("feature"),
+    )
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    apart = held_out(F.col("doc_id"))
+    model = fit(docs, F.col("doc_id").isNotNull() & ~apart)
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_pack": op2_pack,
+    "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
+    "op6_media": op6_media,
     "op8_shard": op8_shard,
+    "op9_language": op9_language,
 }
