@@ -76,4 +76,20 @@ SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, round(p.weight, 6) AS ce
 FROM counted d JOIN p{CALIBRATIONS} p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic"""
 
 
-ORACLES = {"op1_mix": _op1(), "op4_line_dedup": OP4, "op8_shard": OP8}
+OP10 = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words
+), items AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS h FROM sets
+), links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM sets UNION SELECT x.doc_id, l.b FROM reach x JOIN links l ON l.a = x.r
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+
+ORACLES = {"op10_near_dup": OP10, "op1_mix": _op1(), "op4_line_dedup": OP4, "op8_shard": OP8}

@@ -12,6 +12,7 @@ from .language import fit, held_out, identify
 from .line_dedup import line_dedup
 from .media import feature_of, read, store
 from .mixing import mix
+from .near_dup import near_duplicates
 from .packing import pack
 from .sharding import shard
 from .token_files import read_tokens, write_tokens
@@ -70,6 +71,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), model).select("doc_id", apart.alias("held_out"), "lang_pred", "score")
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2, threshold=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_pack": op2_pack,
@@ -78,4 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media": op6_media,
     "op8_shard": op8_shard,
     "op9_language": op9_language,
+    "op10_near_dup": op10_near_dup,
 }
