@@ -92,4 +92,20 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.co
 FROM sets s JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
 """
 
-ORACLES = {"op10_near_dup": OP10, "op1_mix": _op1(), "op4_line_dedup": OP4, "op8_shard": OP8}
+OP5 = """
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT x.vec_id, l.b FROM reach x JOIN links l ON l.a = x.r
+)
+SELECT v.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id = c.component_id AS kept
+FROM embeddings v JOIN (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id) c ON v.vec_id = c.vec_id
+LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) n ON n.a = v.vec_id
+"""
+
+ORACLES = {"op5_embedding_dedup": OP5, "op10_near_dup": OP10, "op1_mix": _op1(), "op4_line_dedup": OP4, "op8_shard": OP8}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable_path, table, text_or_empty
+from .embedding_dedup import embedding_duplicates
 from .language import fit, held_out, identify
 from .line_dedup import line_dedup
 from .media import feature_of, read, store
@@ -45,6 +46,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(text_or_empty(), "utf-8"), 256).alias("kept_sha256"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.encode(text_or_empty(), "utf-8")
     n = F.octet_length(text)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pack": op2_pack,
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_media": op6_media,
     "op8_shard": op8_shard,
     "op9_language": op9_language,
