@@ -16,6 +16,7 @@ from .mixing import mix
 from .near_dup import near_duplicates
 from .packing import pack
 from .sharding import shard
+from .suffix_dedup import suffix_dedup
 from .token_files import read_tokens, write_tokens
 
 
@@ -65,6 +66,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup(table(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(table(spark, sf_dir, "documents"))
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_embedding_dedup": op5_embedding_dedup,
     "op6_media": op6_media,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_shard": op8_shard,
     "op9_language": op9_language,
     "op10_near_dup": op10_near_dup,
