@@ -41,6 +41,8 @@ SKETCH_BITS = 1024
 HEAD_ROWS, BLOCK = 500, 256
 #: Sketches of a block.
 FAR_BLOCK = 1024
+#: Ids that are broadcast, 8 bytes each.
+MOST_SENT = 1_000_000
 #: Vocabulary columns of a block product.
 COLUMNS = 4096
 
@@ -300,7 +302,7 @@ def _residue(families: DataFrame, labels: DataFrame, texts: DataFrame, n: int, t
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
     outside = rows.where("component <> main").select("id", "component", "family", block("ni").alias("bi"), every("nj").alias("bj"), F.lit(0).alias("side"))
     whole = rows.select("id", "component", "family", every("ni").alias("bi"), block("nj").alias("bj"), F.lit(1).alias("side"))
-    asked = outside.unionByName(whole).join(texts, "id")
+    asked = outside.unionByName(whole).join(_texts_with(rows.select("id").distinct(), texts), "id")
     dealt = asked.repartition("family", "bi", "bj").sortWithinPartitions("family", "bi", "bj", "side", "id")
     return dealt.select("family", "bi", "bj", "side", "component", "text").mapInArrow(_blocks(n, threshold), "a bigint, b bigint")
 
@@ -321,7 +323,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     links = durable(_links(pairs, _texts_of(pairs, texts), words, threshold), "near-links")
     labels = durable(components(links), "near-components")
     families = durable(components(near.select("member", "head").unionByName(far), "member", "head"), "near-families")
-    more = durable(_residue(families, labels, texts.dropDuplicates(["id"]).join(families, "id", "left_semi"), words, threshold), "family-links")
+    more = durable(_residue(families, labels, texts, words, threshold), "family-links")
     if not more.isEmpty():
         labels = durable(components(links.unionByName(more)), "near-components")
     out = _named(known, classes).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
@@ -331,8 +333,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
 
 def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """One text for each id that `pairs` name."""
-    ids = pairs.select(F.col("member").alias("id")).unionByName(pairs.select(F.col("head").alias("id"))).distinct()
-    return texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return _texts_with(pairs.select(F.col("member").alias("id")).unionByName(pairs.select(F.col("head").alias("id"))).distinct(), texts)
+
+
+def _texts_with(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """One text for each of `ids`; these are sent to all tasks if they are few, else Spark plans the join itself."""
+    ids = durable(ids, "ids")
+    found = texts.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
+    return found.dropDuplicates(["id"])
 
 
 def _named(known: DataFrame, classes: DataFrame) -> DataFrame:
