@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, by group."""
 
-from . import masks
+from . import geometry, masks
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "masks"]
+__all__ = ["QUERIES", "SQL", "geometry", "masks"]
