@@ -94,7 +94,7 @@ bm AS (SELECT scope, size_bin, cases, coalesce(lesions, 0) AS lesions, coalesce(
 """
 
 
-@query(evaluation() + _BINNED + f"""SELECT scope, size_bin, cases, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) AS ci95_low, round({_HIGH}, 6) AS ci95_high,
+@query(evaluation() + _BINNED + f"""SELECT scope, size_bin, cases, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) + 0.0 AS ci95_low, round({_HIGH}, 6) AS ci95_high,
 round(detected::DOUBLE / nullif(detected + fps, 0), 6) AS lesion_precision, round(cov::DOUBLE / gt, 6) AS voxel_recall, round(dice, 6) AS lesion_dice_mean, fps AS false_positive_components FROM bm""")
 def binned_detection_metrics(spark: SparkSession, d: str) -> DataFrame:
     every, rows, fps, _ = evaluated(spark, d)
@@ -137,7 +137,7 @@ def scope_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 _WL, _WH = wilson_of("k", "n")
 
 
-@query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred AND y = 0) AS k, count(*) FILTER (WHERE gt AND y = 0) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
+@query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred AND y = 0) AS k, count(*) FILTER (WHERE gt AND y = 0) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
 def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     t = voxels(spark, d).groupBy("case_id").agg(F.count_if(F.expr("gt and pred and y = 0")).alias("k"), F.count_if(F.expr("gt and y = 0")).alias("n"))
     low, high = wilson(F.col("k"), F.col("n"))
@@ -305,7 +305,7 @@ fr AS (SELECT sc.scope, rb.report_bin, tk.k AS threshold, coalesce(lesions, 0) A
 """
 
 
-@query(evaluation(SWEEP) + _REPORT + f"SELECT scope, report_bin, threshold, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) AS ci95_low, round({_HIGH}, 6) AS ci95_high, fp_in_bin, round(fp_per_case, 6) AS fp_per_case FROM fr")
+@query(evaluation(SWEEP) + _REPORT + f"SELECT scope, report_bin, threshold, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) + 0.0 AS ci95_low, round({_HIGH}, 6) AS ci95_high, fp_in_bin, round(fp_per_case, 6) AS fp_per_case FROM fr")
 def froc_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.froc(*swept(spark, d)))
 

@@ -1,0 +1,107 @@
+"""NIfTI-1 volumes as tables: headers without voxels, voxel relations, and a writer.
+
+Files are read by Spark's binaryFile source. Only what the format's public definition says is relied on: a 348-byte
+header, little or big endian, and voxels in x-fastest order after `vox_offset`.
+"""
+
+from __future__ import annotations
+
+import gzip
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed values of the format: data type codes.
+TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
+HEADER = "case_id string, path string, size array<int>, spacing_mm array<double>, origin_mm array<double>, dtype string"
+VOXELS = "case_id string, z int, y int, x int, value double"
+
+
+def _inflate(content: bytes, most: int | None = None) -> bytes:
+    if content[:2] != b"\x1f\x8b":
+        return content
+    with gzip.GzipFile(fileobj=__import__("io").BytesIO(content)) as f:
+        return f.read(most) if most else f.read()
+
+
+def parse_header(data: bytes) -> dict:
+    order = "<" if struct.unpack_from("<i", data)[0] == 348 else ">"
+    if struct.unpack_from(order + "i", data)[0] != 348:
+        raise ValueError("not a NIfTI-1 header")
+    dim = struct.unpack_from(order + "8h", data, 40)
+    code, pixdim = struct.unpack_from(order + "h", data, 70)[0], struct.unpack_from(order + "8f", data, 76)
+    offset, slope, shift = struct.unpack_from(order + "3f", data, 108)
+    if any(n > 1 for n in dim[4 : dim[0] + 1]):
+        raise ValueError("only three dimensions are read")
+    origin = [struct.unpack_from(order + "f", data, 280 + 16 * i + 12)[0] for i in range(3)]
+    return {"size": list(dim[1:4]), "spacing": [float(p) for p in pixdim[1:4]], "origin": origin, "dtype": order + TYPES[code], "offset": int(offset) or 352, "slope": slope or 1.0, "shift": shift}
+
+
+def parse_voxels(data: bytes) -> tuple[dict, np.ndarray]:
+    """Header and array indexed [z, y, x]."""
+    h = parse_header(data)
+    n = int(np.prod(h["size"]))
+    raw = np.frombuffer(data, h["dtype"], n, h["offset"]).reshape(h["size"][::-1])
+    return h, raw if h["slope"] == 1 and h["shift"] == 0 else raw * h["slope"] + h["shift"]
+
+
+def encode(volume: np.ndarray, spacing: tuple[float, float, float], origin: tuple[float, float, float] = (0, 0, 0)) -> bytes:
+    """A gzipped file of an array indexed [z, y, x]; spacing and origin are in x, y, z order."""
+    code = {v: k for k, v in TYPES.items()}[volume.dtype.str[1:]]
+    head = bytearray(352)
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, *volume.shape[::-1], 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, code, volume.dtype.itemsize * 8)
+    struct.pack_into("<8f", head, 76, 1, *spacing, 0, 0, 0, 0)
+    struct.pack_into("<3f", head, 108, 352, 1, 0)
+    struct.pack_into("<2h", head, 252, 0, 1)
+    for i in range(3):
+        struct.pack_into("<4f", head, 280 + 16 * i, *[spacing[i] if j == i else 0 for j in range(3)], origin[i])
+    head[344:348] = b"n+1\0"
+    return gzip.compress(bytes(head) + volume.astype(volume.dtype.newbyteorder("<")).tobytes(), 1)
+
+
+def _case(path: str) -> str:
+    return path.rpartition("/")[2].removesuffix(".gz").removesuffix(".nii")
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """Headers alone; of a compressed file no more than the header is inflated."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                h = parse_header(_inflate(content, 352))
+                rows.append({"case_id": _case(name), "path": name, "size": h["size"], "spacing_mm": h["spacing"], "origin_mm": h["origin"], "dtype": h["dtype"].lstrip("<>")})
+            kinds = pa.schema([("case_id", pa.string()), ("path", pa.string()), ("size", pa.list_(pa.int32())), ("spacing_mm", pa.list_(pa.float64())), ("origin_mm", pa.list_(pa.float64())), ("dtype", pa.string())])
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, HEADER)
+
+
+def voxels(spark: SparkSession, path: str, foreground: bool = True, label: float | None = None) -> DataFrame:
+    """(case_id, z, y, x, value): voxels above 0, those that equal `label`, or all."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                _, volume = parse_voxels(_inflate(content))
+                mask = volume == label if label is not None else volume > 0 if foreground else np.ones(volume.shape, bool)
+                z, y, x = (a.astype(np.int32) for a in np.nonzero(mask))
+                for a in range(0, len(z), 100_000):
+                    s = slice(a, a + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([_case(name)] * len(z[s])), pa.array(z[s]), pa.array(y[s]), pa.array(x[s]), pa.array(volume[z[s], y[s], x[s]].astype(np.float64))], names=["case_id", "z", "y", "x", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, VOXELS)
+
+
+def same_grid(a: DataFrame, b: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(case_id, same): sizes are equal, spacings and origins within the tolerance."""
+    near = lambda n: F.forall(F.zip_with(F.col(f"a.{n}"), F.col(f"b.{n}"), lambda p, q: F.abs(p - q) <= tolerance), lambda ok: ok)
+    both = a.alias("a").join(b.alias("b"), F.col("a.case_id") == F.col("b.case_id"))
+    return both.select("a.case_id", ((F.col("a.size") == F.col("b.size")) & near("spacing_mm") & near("origin_mm")).alias("same"))
