@@ -30,6 +30,8 @@ from .common import small_batches, text_or_empty
 from .tokens import encoder
 
 MAGIC, RANK = b"DAC1", 512
+#: Files whose bases are broadcast, 16 bytes each; beyond that Spark plans the join itself.
+MOST_SENT = 100_000
 #: Tokens of a block, unless one document has more.
 BLOCK = 1 << 20
 SCHEMA = "shard int, block int, shard_start bigint, doc_ids array<bigint>, lengths array<bigint>, codes binary"
@@ -148,5 +150,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sums = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))  # a row for each file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    few = blocks.select("shard").distinct().limit(MOST_SENT + 1).count() <= MOST_SENT
     rows = blocks.mapInArrow(_read, "shard int, doc_id bigint, shard_start bigint, n_tokens bigint, ids binary")
-    return rows.join(bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(bases) if few else bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")

@@ -1,21 +1,33 @@
 """Token ids of whole texts, through a cache of words.
 
 Both kinds of vocabulary split a text into words before they merge symbols, so the ids of a text are the ids of its
-words in a row. A text is cut only where the tokenizer itself always cuts; each distinct piece is then encoded once by
-the tokenizer and kept as bytes (little-endian unsigned 32-bit ids). Texts where a cut is not certain are encoded whole.
+words in a row. Each distinct word is encoded once by the tokenizer and kept as bytes (little-endian unsigned 32-bit
+ids). Texts in Latin letters are cut into words by the tokenizers' own pattern; other texts, and those with special
+tokens, only at white space where a cut is certain; the rest is encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces kept by a worker before it starts anew.
-CACHE = 400_000
+#: New words that a worker keeps before the older ones are let go, and the longest that is kept.
+CACHE, LONGEST = 220_000, 256
+#: New words that are encoded in one call, as one line of words.
+LINE = 400
+# The letters and digits below U+0250, and the tokenizers' word patterns for them.
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_WORDS = {
+    "byte": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+"),
+}
+#: What these patterns may not be used for: other scripts, odd white space, U+0130 (two symbols in lower case), specials.
+_BEYOND = re.compile("[\x1c-\x1f\x85\xa0İ\u0250-\U0010ffff]")
 #: A space next to other white space: byte-level pieces then depend on the run.
 _RUN = re.compile(r"\s | \s|^ | $")
 #: A lone space between two visible characters.
@@ -37,29 +49,73 @@ class Encoder:
 
         self.tokenizer, self.kind = Tokenizer.from_file(path), kind
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        if kind == "byte":  # a line break between words is a token of its own
+            self.breaks = np.zeros(size, dtype=bool)
+            self.breaks[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        elif kind == "word":  # the last token of a word is marked
+            self.ends = np.zeros(size, dtype=bool)
+            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of words as the patterns cut them, many in a call."""
+        if self.kind == "byte":
+            plain = [w for w in words if not w.isspace()]
+        else:
+            plain = words
+        found: dict[str, bytes] = {}
+        lines = [plain[a : a + LINE] for a in range(0, len(plain), LINE)]
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([("\n" if self.kind == "byte" else " ").join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            if self.kind == "byte":
+                ends = np.append(np.flatnonzero(self.breaks[ids]), len(ids))
+                starts = np.concatenate([[0], ends[:-1] + 1])
+            else:
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            if len(ends) != len(line):  # not as expected: one by one
+                found.update(zip(line, self.whole(line), strict=True))
+                continue
+            data = ids.tobytes()
+            found.update((w, data[4 * a : 4 * b]) for w, a, b in zip(line, starts.tolist(), ends.tolist(), strict=True))
+        if rest := [w for w in words if w not in found]:
+            found.update(zip(rest, self.whole(rest), strict=True))
+        return [found[w] for w in words]
 
     def pieces(self, text: str) -> list[str]:
+        """A text that the patterns may not cut, cut at white space."""
         if self.kind == "byte":
             parts = _CUT.split(text) if _RUN.search(text) else text.split(" ")
             return [parts[0], *[f" {p}" for p in parts[1:]]]
-        if self.kind == "word":
-            return [text] if _ODD.search(text) else text.split()
+        if self.kind == "word" and not _ODD.search(text):
+            return text.split()
         return [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        cut = [self.pieces(text) for text in texts]
-        # A long text that has no cut is encoded as it is, and not kept.
-        long = [i for i, parts in enumerate(cut) if len(parts) == 1 and len(texts[i]) > 200]
-        wholes = dict(zip(long, self.whole([texts[i] for i in long]), strict=True))
-        missing = list({p for i, parts in enumerate(cut) if i not in wholes for p in parts} - cache.keys())
-        cache.update(zip(missing, self.whole(missing), strict=True))
-        return [wholes[i] if i in wholes else b"".join(map(cache.__getitem__, parts)) for i, parts in enumerate(cut)]
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        known = {text: i for i, text in reversed([*enumerate(texts)])}  # the first of equal texts
+        first = sorted(known.values())
+        plain = {i: self.kind in _WORDS and "<|" not in texts[i] and not _BEYOND.search(texts[i]) for i in first}
+        cut = {i: _WORDS[self.kind].findall(texts[i]) if plain[i] else self.pieces(texts[i]) for i in first}
+        for ok, encode in ((True, self.words), (False, self.whole)):
+            missing = set().union(*[cut[i] for i in first if plain[i] == ok]) - cache.keys()
+            again = missing & older.keys()
+            cache.update((p, older[p]) for p in again)
+            new = list(missing - again)
+            cache.update(zip(new, encode(new), strict=True))
+        done = {i: b"".join(map(cache.__getitem__, cut[i])) for i in first}
+        for i in first:
+            if len(texts[i]) > LONGEST and max(map(len, cut[i]), default=0) > LONGEST:
+                for p in cut[i]:
+                    if len(p) > LONGEST:
+                        cache.pop(p, None)
+        return [done[known[text]] for text in texts]
 
 
 def encoder(path: str, kind: str) -> Encoder:
