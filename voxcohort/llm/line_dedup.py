@@ -56,7 +56,7 @@ def packed(segment: np.ndarray, probes: np.ndarray, width: int) -> dict[int, byt
     segment, probes = segment[order], probes[order]
     out = {}
     names, starts = np.unique(segment, return_index=True)
-    for name, a, b in zip(names, starts, [*starts[1:], len(segment)], strict=True):
+    for name, a, b in zip(names, starts, [*starts[1:], len(segment)][: len(names)], strict=True):
         bits = np.zeros(width, dtype=bool)
         bits[probes[a:b].ravel()] = True
         out[int(name)] = np.packbits(bits).tobytes()
