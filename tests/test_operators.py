@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxcohort.functions import scalars as fn
-from voxcohort.operators import estimators, evaluation, records, registration, splits, taxonomy, volumes
+from voxcohort.operators import components, estimators, evaluation, records, registration, splits, taxonomy, volumes
 from voxcohort.operators.components import drop_small, label, label_components, label_components_joined
 
 
@@ -77,6 +77,31 @@ def test_covered_at_exactly_a_tenth_and_double_touch(spark):
     assert math.isclose(rows[0].lesion_dice, 2 * 2 / (20 + 7))
 
 
+def test_contingency_equals_joins(spark):
+    rng = random.Random(11)
+    rows = [(c, z, y, x, (z * 10 + y) * 10 + x + 1000 * c, rng.random() < 0.12, rng.randrange(256) if rng.random() < 0.2 else 0) for c in (1, 2) for z in range(8) for y in range(8) for x in range(8)]
+    v = spark.createDataFrame(rows, "case_id long, z int, y int, x int, voxel_id long, gt boolean, p255 int")
+    levels = (60, 200)
+    table = components.contingency(v, "p255", levels)
+    truth = label_components(v.where("gt"))
+    found = label_components(v.where("p255 > 0").withColumn("threshold", F.explode(F.array(*map(F.lit, levels)))).where("p255 >= threshold"), ("case_id", "threshold"))
+    keys = ("case_id", "threshold")
+    names = ("case_id", "threshold", "lesion", "voxels", "size_bin", "covered", "detected", "lesion_dice")
+    a = evaluation.lesions_of(table, 60.0).select(*names).collect()
+    b = evaluation.lesions(truth, found, ("case_id",), keys, 60.0, spark.createDataFrame([(t,) for t in levels], "threshold int")).select(*names).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) > 20
+    c = evaluation.false_positives_of(table, 60.0).select("case_id", "threshold", "piece", "voxels").collect()
+    e = evaluation.false_positives(truth, found, ("case_id",), keys, 60.0).select("case_id", "threshold", F.col("component").alias("piece"), "voxels").collect()
+    assert sorted(map(tuple, c)) == sorted(map(tuple, e)) and c
+    small = components.contingency(v.withColumn("pred", F.col("p255") > 0), least=3)
+    kept = drop_small(label_components(v.where("p255 > 0")), 3)
+    assert small.where("piece is not null").agg(F.sum("n")).first()[0] == kept.count()
+
+
+def test_levels_of_the_sweep():
+    assert [evaluation.level_of(t) for t in evaluation.THRESHOLDS] == [6, 13, 26, 39, 51, 64, 77, 90, 102, 115, 128, 141, 153, 166, 179, 192, 204, 217, 230, 243, 250]
+
+
 def test_empty_masks_have_no_dice(spark):
     cases = spark.createDataFrame([(1,)], "case_id long")
     none = table(spark, []).select("case_id", "z", "y", "x")

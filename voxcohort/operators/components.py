@@ -100,3 +100,42 @@ def drop_small(components: DataFrame, least: int, keys: tuple[str, ...] = ("case
         return components
     large = components.groupBy(*keys, "component").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
     return components.join(large, [*keys, "component"], "left_semi")
+
+
+def contingency(voxels: DataFrame, found: str = "pred", thresholds: tuple[int, ...] = (), least: int = 0) -> DataFrame:
+    """Shared voxels of true and found components, from one pass over each volume.
+
+    `voxels` has case_id, z, y, x, voxel_id, gt and the column `found`: a boolean, or numbers that are compared with each
+    of `thresholds`. A row (case_id, threshold, lesion, piece, n) counts the voxels of a lesion that lie in a piece; lesion
+    or piece is null for voxels outside of one. The truth is labelled once for all thresholds. Found components under
+    `least` voxels are dropped. Rows are dealt by case, so what is computed from them needs no further shuffle.
+    """
+    levels = thresholds or (None,)
+    kinds = dict(voxels.dtypes)
+    hit = F.col(found) if not thresholds else F.col(found) >= min(thresholds)
+    rows = voxels.where(F.col("gt") | hit).select("case_id", *AXES, "voxel_id", "gt", F.col(found).cast("int").alias("found"))
+
+    def names(at: np.ndarray, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        out = np.full(len(ids), -1, dtype=np.int64)
+        inside = np.flatnonzero(mask)
+        out[inside] = inside[label(at[inside])]
+        return out
+
+    def solve(table: pa.Table) -> pa.Table:
+        table = table.sort_by("voxel_id")
+        at, ids = np.stack([table.column(c).to_numpy() for c in AXES], axis=1).astype(np.int64), table.column("voxel_id").to_numpy()
+        gt, value = table.column("gt").to_numpy(zero_copy_only=False), table.column("found").to_numpy()
+        lesion, out = names(at, ids, gt), []
+        for t in levels:
+            piece = names(at, ids, value > 0 if t is None else value >= t)
+            if least > 1 and (piece >= 0).any():
+                sizes = np.bincount(piece[piece >= 0], minlength=len(ids))
+                piece[(piece >= 0) & (sizes[piece] < least)] = -1
+            pairs, n = np.unique(np.stack([lesion, piece], axis=1)[(lesion >= 0) | (piece >= 0)], axis=0, return_counts=True)
+            named = [pa.array(ids[np.maximum(pairs[:, i], 0)], mask=pairs[:, i] < 0) for i in (0, 1)]
+            case = pa.array([table.column("case_id")[0].as_py()] * len(n), table.schema.field("case_id").type)
+            out.append(pa.table({"case_id": case, "threshold": pa.array([t or 0] * len(n), pa.int32()), "lesion": named[0], "piece": named[1], "n": pa.array(n, pa.int64())}))
+        return pa.concat_tables(out)
+
+    schema = f"case_id {kinds['case_id']}, threshold int, lesion {kinds['voxel_id']}, piece {kinds['voxel_id']}, n bigint"
+    return rows.groupBy("case_id").applyInArrow(solve, schema).repartition("case_id")

@@ -6,17 +6,25 @@ coordinates or on component names; nothing is compared pair by pair.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SIZE_BINS, diameter, f1, ratio, size_bin, wilson
 
 HIT_FRACTION = 0.10
-# Bins of reports, the last two being unions of others.
+# Bins of reports, the last two being unions of others; probabilities of the sweep; targets.
 REPORT_BINS = {"0_5mm": ("0_5mm",), "5_10mm": ("5_10mm",), "10_15mm": ("10_15mm",), "gt_15mm": ("gt_15mm",), "5_15mm": ("5_10mm", "10_15mm"), "all": SIZE_BINS}
+THRESHOLDS = (0.02, 0.05, 0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.98)
 FP_TARGETS = (0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 
 
+def level_of(probability: float) -> int:
+    """The smallest of 0..255 that reaches a probability."""
+    return math.ceil(255 * probability - 1e-9)
+
+
 def sizes(components: DataFrame, keys: tuple[str, ...], volume: float) -> DataFrame:
     out = components.groupBy(*keys, "component").agg(F.count("*").alias("voxels"))
     return out.withColumn("esd_mm", diameter(F.col("voxels") * volume)).withColumn("size_bin", size_bin(F.col("esd_mm")))
@@ -29,6 +37,36 @@ def overlap(truth: DataFrame, found: DataFrame, keys: tuple[str, ...], found_key
     return a.join(b, [*keys, "z", "y", "x"]).groupBy(*found_keys, "lesion", "piece").agg(F.count("*").alias("shared"))
 
 
+def sized(df: DataFrame, volume: float) -> DataFrame:
+    return df.withColumn("esd_mm", diameter(F.col("voxels") * volume)).withColumn("size_bin", size_bin(F.col("esd_mm")))
+
+
+def lesions_of(table: DataFrame, volume: float) -> DataFrame:
+    """As `lesions`, from a contingency table (see components.contingency); with `threshold`."""
+    keys = ["case_id", "threshold"]
+    pieces = table.where("piece is not null").groupBy(*keys, "piece").agg(F.sum("n").alias("piece_voxels"))
+    rows = table.where("lesion is not null").join(pieces, [*keys, "piece"], "left")
+    sums = rows.groupBy(*keys, "lesion").agg(F.sum("n").alias("voxels"), F.coalesce(F.sum(F.when(F.col("piece").isNotNull(), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum("piece_voxels"), F.lit(0)).alias("touching"))
+    return sized(sums, volume).select(
+        *keys, "lesion", "voxels", "esd_mm", "size_bin", "covered", ratio(F.col("covered"), F.col("voxels")).alias("covered_fraction"),
+        (F.col("covered") >= F.greatest(F.lit(1.0), HIT_FRACTION * F.col("voxels"))).alias("detected"), ratio(2 * F.col("covered"), F.col("voxels") + F.col("touching")).alias("lesion_dice"),
+    )
+
+
+def false_positives_of(table: DataFrame, volume: float) -> DataFrame:
+    pieces = table.where("piece is not null").groupBy("case_id", "threshold", "piece").agg(F.sum("n").alias("voxels"), F.max("lesion").alias("touched"))
+    return sized(pieces.where("touched is null").drop("touched"), volume)
+
+
+def case_totals_of(table: DataFrame, cases: DataFrame) -> DataFrame:
+    """As `case_totals`, for a table without thresholds."""
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    g, p = F.col("lesion").isNotNull(), F.col("piece").isNotNull()
+    counts = table.groupBy("case_id").agg(part(g).alias("gt_voxels"), part(p).alias("pred_voxels"), part(g & p).alias("tp_voxels"))
+    out = cases.join(counts, "case_id", "left").fillna(0, ["gt_voxels", "pred_voxels", "tp_voxels"])
+    return out.withColumn("case_dice", ratio(2 * F.col("tp_voxels"), F.col("gt_voxels") + F.col("pred_voxels")))
+
+
 def lesions(truth: DataFrame, found: DataFrame, keys: tuple[str, ...], found_keys: tuple[str, ...], volume: float, settings: DataFrame | None = None) -> DataFrame:
     """One row for each lesion (and setting): coverage, detection and Dice. `settings` has what found_keys add to keys."""
     both = overlap(truth, found, keys, found_keys)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SIZE_BINS, diameter, ratio, size_bin, wilson
 from ..operators import evaluation as E
-from ..operators.components import drop_small, label_components
+from ..operators.components import contingency, drop_small, label_components
 from .registry import query, read, rounded
 from .voxels import SWEEP, THRESHOLDS, VOLUME, VOX, bin_of, cases, components, esd_of, evaluation, mask, voxels, wilson_of
 
@@ -22,24 +22,17 @@ def labelled(spark: SparkSession, d: str, kind: str) -> DataFrame:
 
 
 def evaluated(spark: SparkSession, d: str, least: int = 0) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cases, lesion rows, false positives and case totals."""
-    truth, found = labelled(spark, d, "gt"), drop_small(labelled(spark, d, "pred"), least)
-    every = cases(spark, d)
-    rows = E.lesions(truth, found, KEYS, KEYS, VOLUME).withColumn("dataset", dataset_of())
-    fps = E.false_positives(truth, found, KEYS, KEYS, VOLUME).withColumn("dataset", dataset_of())
-    return every, rows, fps, E.case_totals(every, truth, found)
+    """Cases, lesion rows, false positives and case totals, all from one table of shared voxels."""
+    table, every = contingency(voxels(spark, d), least=least), cases(spark, d)
+    rows, fps = (f(table, VOLUME).drop("threshold").withColumn("dataset", dataset_of()) for f in (E.lesions_of, E.false_positives_of))
+    return every, rows, fps, E.case_totals_of(table, every)
 
 
 def swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Cases, lesion rows, false positives and thresholds of the sweep; the truth is labelled once."""
-    keys = ("case_id", "threshold")
-    levels = spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold int")
-    found = voxels(spark, d).where(F.col("p255") >= min(THRESHOLDS)).select("case_id", "z", "y", "x", "voxel_id", "p255", F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold"))
-    found = label_components(found.where("p255 >= threshold"), keys)
-    truth = labelled(spark, d, "gt")
-    rows = E.lesions(truth, found, KEYS, keys, VOLUME, levels).withColumn("dataset", dataset_of())
-    fps = E.false_positives(truth, found, KEYS, keys, VOLUME).withColumn("dataset", dataset_of())
-    return cases(spark, d), rows, fps, levels
+    """Cases, lesion rows, false positives and thresholds of the sweep."""
+    table = contingency(voxels(spark, d), "p255", THRESHOLDS)
+    rows, fps = (f(table, VOLUME).withColumn("dataset", dataset_of()) for f in (E.lesions_of, E.false_positives_of))
+    return cases(spark, d), rows, fps, spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold int")
 
 
 @query(f"WITH RECURSIVE {VOX}, {components('g', mask('gt'))} SELECT case_id, v AS voxel_id, component FROM g")
