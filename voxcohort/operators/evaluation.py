@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SIZE_BINS, diameter, f1, ratio, size_bin, wilson
@@ -42,11 +42,16 @@ def sized(df: DataFrame, volume: float) -> DataFrame:
 
 
 def lesions_of(table: DataFrame, volume: float) -> DataFrame:
-    """As `lesions`, from a contingency table (see components.contingency); with `threshold`."""
+    """As `lesions`, from a contingency table (see components.contingency); with `threshold`.
+
+    Rows outside of lesions are told apart after the aggregate, here and below, so that all readers of the table have one
+    plan for it and Spark makes it once.
+    """
     keys = ["case_id", "threshold"]
-    pieces = table.where("piece is not null").groupBy(*keys, "piece").agg(F.sum("n").alias("piece_voxels"))
-    rows = table.where("lesion is not null").join(pieces, [*keys, "piece"], "left")
-    sums = rows.groupBy(*keys, "lesion").agg(F.sum("n").alias("voxels"), F.coalesce(F.sum(F.when(F.col("piece").isNotNull(), F.col("n"))), F.lit(0)).alias("covered"), F.coalesce(F.sum("piece_voxels"), F.lit(0)).alias("touching"))
+    inside = F.col("piece").isNotNull()
+    whole = F.sum("n").over(Window.partitionBy(*keys, "piece"))  # a case's rows lie in one task already
+    rows = table.withColumn("piece_voxels", F.when(inside, whole).otherwise(0)).withColumn("shared", F.when(inside, F.col("n")).otherwise(0))
+    sums = rows.groupBy(*keys, "lesion").agg(F.sum("n").alias("voxels"), F.sum("shared").alias("covered"), F.sum("piece_voxels").alias("touching"), F.count("lesion").alias("real")).where("real > 0")
     return sized(sums, volume).select(
         *keys, "lesion", "voxels", "esd_mm", "size_bin", "covered", ratio(F.col("covered"), F.col("voxels")).alias("covered_fraction"),
         (F.col("covered") >= F.greatest(F.lit(1.0), HIT_FRACTION * F.col("voxels"))).alias("detected"), ratio(2 * F.col("covered"), F.col("voxels") + F.col("touching")).alias("lesion_dice"),
@@ -54,15 +59,15 @@ def lesions_of(table: DataFrame, volume: float) -> DataFrame:
 
 
 def false_positives_of(table: DataFrame, volume: float) -> DataFrame:
-    pieces = table.where("piece is not null").groupBy("case_id", "threshold", "piece").agg(F.sum("n").alias("voxels"), F.max("lesion").alias("touched"))
-    return sized(pieces.where("touched is null").drop("touched"), volume)
+    pieces = table.groupBy("case_id", "threshold", "piece").agg(F.sum("n").alias("voxels"), F.count("lesion").alias("touched"), F.count("piece").alias("real"))
+    return sized(pieces.where("real > 0 and touched = 0").drop("touched", "real"), volume)
 
 
 def case_totals_of(table: DataFrame, cases: DataFrame) -> DataFrame:
     """As `case_totals`, for a table without thresholds."""
     part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     g, p = F.col("lesion").isNotNull(), F.col("piece").isNotNull()
-    counts = table.groupBy("case_id").agg(part(g).alias("gt_voxels"), part(p).alias("pred_voxels"), part(g & p).alias("tp_voxels"))
+    counts = table.groupBy("case_id", "threshold").agg(part(g).alias("gt_voxels"), part(p).alias("pred_voxels"), part(g & p).alias("tp_voxels")).drop("threshold")
     out = cases.join(counts, "case_id", "left").fillna(0, ["gt_voxels", "pred_voxels", "tp_voxels"])
     return out.withColumn("case_dice", ratio(2 * F.col("tp_voxels"), F.col("gt_voxels") + F.col("pred_voxels")))
 
@@ -151,8 +156,6 @@ def froc(cases: DataFrame, lesion_rows: DataFrame, fp_rows: DataFrame, threshold
 
 def at_targets(curve: DataFrame, targets: tuple[float, ...] = FP_TARGETS) -> DataFrame:
     """Sensitivity at each target of false positives a case, from the first bracketing pair of points; null outside."""
-    from pyspark.sql import Window
-
     points = curve.where("sensitivity is not null").select("scope", "report_bin", "fp_per_case", "sensitivity", "threshold")
     w = Window.partitionBy("scope", "report_bin").orderBy("fp_per_case", "sensitivity", F.desc("threshold"))
     pairs = points.select("scope", "report_bin", F.row_number().over(w).alias("i"), F.col("fp_per_case").alias("x0"), F.col("sensitivity").alias("y0"), F.lead("fp_per_case").over(w).alias("x1"), F.lead("sensitivity").over(w).alias("y1"))

@@ -109,7 +109,7 @@ def paired(spark: SparkSession, d: str) -> DataFrame:
 _PAIRED = f"{_PROFILES}, pa AS (SELECT a.case_id, a.event_type, a.p, b.p AS q FROM pr a JOIN pr b ON a.case_id = b.case_id AND b.event_type = 'view' AND a.event_type <> 'view'), co AS (SELECT case_id, event_type, coalesce(corr(x, y), 0) AS direct, coalesce(corr(w, y), 0) AS reversed FROM (SELECT case_id, event_type, unnest(p) AS x, unnest(list_reverse(p)) AS w, unnest(q) AS y FROM pa) GROUP BY 1, 2)"
 
 
-@query(f"WITH {_PAIRED} SELECT case_id, event_type, round(direct, 6) AS direct, round(reversed, 6) AS reversed FROM co")
+@query(f"WITH {_PAIRED} SELECT case_id, event_type, round(direct, 6) + 0.0 AS direct, round(reversed, 6) + 0.0 AS reversed FROM co")
 def profile_correlation(spark: SparkSession, d: str) -> DataFrame:
     a = F.col("profile")
     return rounded(paired(spark, d).select("case_id", "event_type", S.correlation(a, F.col("reference")).alias("direct"), S.correlation(F.reverse(a), F.col("reference")).alias("reversed")))
