@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +53,21 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+#: What clears the caches that operators keep in a Python worker, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keep_only(name: str) -> None:
+    """Clear the worker's caches of other operators, as workers are used again by later stages."""
+    for other, clear in CACHES.items():
+        if other != name:
+            clear()
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound what one Arrow batch holds, since texts may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import keep_only, small_batches
 
 PIECE, ALPHABET = 128, 120
 GAP, PAD, OTHER, FIRST = 0, 1, 2, 3
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(texts: pa.Array) -> pa.Array:
+        keep_only("language")
         found = shared.value.predict(texts.to_pylist())
         return pa.array([{"lang": a, "score": b} for a, b in found], pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 

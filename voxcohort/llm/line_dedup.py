@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, durable, small_batches, text_or_empty
+from .common import BLANK, durable, keep_only, small_batches, text_or_empty
 
 #: Bits of a segment, and bits set for a key, all within one segment.
 SEGMENT = 1 << 19
@@ -78,6 +78,7 @@ def _fill(bits: int, min_chars: int):
             yield pa.RecordBatch.from_pydict({"segment": pa.array([name], pa.int32()), "once": [zlib.compress(value, 1)], "twice": [zlib.compress(twice[name], 1) if name in twice else None]})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("lines")
         found, held = [], 0
         for batch in batches:
             for text in _texts(batch):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_batches, text_or_empty
+from .common import CACHES, durable, keep_only, small_batches, text_or_empty
 from .graph import components
 
 BANDS, ROWS = 32, 5
@@ -64,13 +64,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
 
 _WORDS = _Words()
+CACHES["near_dup"] = _WORDS.clear
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -117,6 +118,7 @@ def bits_at(similarity: float, deviations: float = 0) -> int:
 
 def _describe(n: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("near_dup")
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for text in batch.column("text").cast(pa.binary()).to_pylist():

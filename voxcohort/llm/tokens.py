@@ -14,10 +14,12 @@ from array import array
 
 import numpy as np
 
+from .common import CACHES, keep_only
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: New words that a worker keeps before the older ones are let go, and the longest that is kept.
-CACHE, LONGEST = 220_000, 256
+CACHE, LONGEST = 260_000, 256
 #: New words that are encoded in one call, as one line of words.
 LINE = 400
 # The letters and digits below U+0250, and the tokenizers' word patterns for them.
@@ -35,6 +37,7 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Python splits at these, tokenizers do not.
 _ODD = re.compile("[\x1c-\x1f]")
 _LOADED: dict[str, Encoder] = {}
+CACHES["tokens"] = _LOADED.clear
 
 
 class Encoder:
@@ -102,7 +105,9 @@ class Encoder:
         known = {text: i for i, text in reversed([*enumerate(texts)])}  # the first of equal texts
         first = sorted(known.values())
         plain = {i: self.kind in _WORDS and "<|" not in texts[i] and not _BEYOND.search(texts[i]) for i in first}
-        cut = {i: _WORDS[self.kind].findall(texts[i]) if plain[i] else self.pieces(texts[i]) for i in first}
+        # Vocabularies of kind "word" lower the case; doing so here makes fewer distinct words.
+        cased = str.lower if self.kind == "word" else str
+        cut = {i: _WORDS[self.kind].findall(cased(texts[i])) if plain[i] else self.pieces(texts[i]) for i in first}
         for ok, encode in ((True, self.words), (False, self.whole)):
             missing = set().union(*[cut[i] for i in first if plain[i] == ok]) - cache.keys()
             again = missing & older.keys()
@@ -120,6 +125,7 @@ class Encoder:
 
 def encoder(path: str, kind: str) -> Encoder:
     """One encoder for each worker process."""
+    keep_only("tokens")
     if path not in _LOADED:
         _LOADED[path] = Encoder(path, kind)
     return _LOADED[path]
