@@ -376,3 +376,11 @@ def test_near_duplicates(spark, docs, none, n, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out if r.doc_id is not None} == brute_near(rows, n)
     assert all(r.component_id is None and r.kept for r in out if r.doc_id is None)
     assert near_dup.near_duplicates(none).count() == 0
+
+
+def test_filters_where_only_some_segments_repeat(spark):
+    """Tasks whose filters have many segments, few of them with repeated keys."""
+    rows = [(i, f"line number {i} of this table\nline number {i % 50} again and again", "en", "a", 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = line_dedup.line_dedup(df, bits_per_key=600).collect()
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got) == brute_lines([(d, t) for d, t, *_ in rows])

@@ -75,7 +75,8 @@ def _fill(bits: int, min_chars: int):
         segment, probes = places(keys, bits)
         once, twice = packed(segment, probes, width), packed(segment[times > 1], probes[times > 1], width)
         for name, value in once.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([name], pa.int32()), "once": [zlib.compress(value, 1)], "twice": [zlib.compress(twice[name], 1) if name in twice else None]})
+            again = zlib.compress(twice[name], 1) if name in twice else None
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([name], pa.int32()), "once": pa.array([zlib.compress(value, 1)], pa.binary()), "twice": pa.array([again], pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only("lines")

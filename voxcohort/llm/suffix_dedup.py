@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, LENGTH, runs
-from .common import durable, small_batches, text_or_empty
+from .common import durable, keep_only, small_batches, text_or_empty
 from .line_dedup import _merge, packed, places
 
 #: Contexts of an anchor in one block, and bytes of contexts sorted at once.
 HOT, BLOCK_BYTES = 4096, 1 << 18
+#: Bytes of contexts that a task holds before it hands them on.
+FLUSH_BYTES = 4 << 20
 OUT = ("kept", "spans", "n_bytes", "n_removed", "n_spans")
 SEGMENT = 1 << 19
 
@@ -57,12 +59,15 @@ def suffix_order(data: bytes, needed: np.ndarray, depth: int) -> np.ndarray:
     np.add.at(marks, starts, 1)
     np.add.at(marks, stop[starts] + 1, -1)
     wanted = np.cumsum(marks)[: n + 1] > 0
-    direct = np.array(sorted(np.flatnonzero(wanted & small).tolist(), key=lambda p: data[p : p + depth]), dtype=np.int64)
+    direct = np.flatnonzero(wanted & small)
+    direct = direct[np.argsort(text[direct], kind="stable")]
+    ends = np.searchsorted(text[direct], np.arange(258))
+    for a, b in zip(ends, ends[1:], strict=False):  # bucket by bucket, so that few keys are held at a time
+        if b - a > 1:
+            direct[a:b] = sorted(direct[a:b].tolist(), key=lambda p: data[p : p + depth])
     induced = wanted & ~small
-    heads = text[direct]
     pending: list[list[np.ndarray]] = [[] for _ in range(257)]
     out = []
-    bounds = np.searchsorted(heads, np.arange(258))  # `direct` is in the order of its first symbols
     for c in range(257):
         wave = np.concatenate(pending[c]) if pending[c] else np.zeros(0, np.int64)
         large = []
@@ -70,7 +75,7 @@ def suffix_order(data: bytes, needed: np.ndarray, depth: int) -> np.ndarray:
             large.append(wave)
             before = wave[wave > 0] - 1
             wave = before[(text[before] == c) & induced[before]]
-        bucket = np.concatenate([*large, direct[bounds[c] : bounds[c + 1]]])
+        bucket = np.concatenate([*large, direct[ends[c] : ends[c + 1]]])
         if not len(bucket):
             continue
         out.append(bucket)
@@ -127,9 +132,11 @@ def _fill(bits: int, length: int, gram: int):
         segment, probes = places(keys, bits)
         once, twice = packed(segment, probes, width), packed(segment[times > 1], probes[times > 1], width)
         for name, value in once.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([name], pa.int32()), "once": [zlib.compress(value, 1)], "twice": [zlib.compress(twice[name], 1) if name in twice else None]})
+            again = zlib.compress(twice[name], 1) if name in twice else None
+            yield pa.RecordBatch.from_pydict({"segment": pa.array([name], pa.int32()), "once": pa.array([zlib.compress(value, 1)], pa.binary()), "twice": pa.array([again], pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("suffix")
         found, held = [], 0
         for batch in batches:
             for text in _texts(batch):
@@ -156,36 +163,49 @@ def _contexts(shared, bits: int, length: int, gram: int):
         filled = {k: np.frombuffer(zlib.decompress(v), np.uint8) for k, v in shared.value.items()}
         segments = np.array(sorted(filled), dtype=np.int64)
         table = np.stack([filled[k] for k in segments]) if len(segments) else None
-        for batch in batches:
-            met: dict[bytes, list] = {}
-            out: list[list] = [[] for _ in names]
-            hashes_of: dict[bytes, list[bytes]] = {}
-            for text in _texts(batch):
-                if len(text) < length or table is None:
-                    continue
-                name = hashlib.md5(text).digest()
-                if name in hashes_of:  # the same text again: its contexts count, its places are known
-                    for digest in hashes_of[name]:
-                        met[digest][2] += 1
-                    continue
-                hashes, first, end = runs(text, length, gram)
-                segment, probes = places(hashes, bits)
-                at = np.minimum(np.searchsorted(segments, segment), len(segments) - 1)
-                hit = segments[at] == segment
-                for i in range(probes.shape[1]):
-                    hit &= (table[at, probes[:, i] >> 3] >> (7 - (probes[:, i] & 7))) & 1 == 1
-                own = hashes_of[name] = []
-                for i in np.flatnonzero(hit):
-                    context = text[first[i] : end[i] + length - 1]
-                    digest = hashlib.md5(context).digest()
-                    own.append(digest)
-                    met.setdefault(digest, [int(hashes[i].view(np.int64)), context, 0])[2] += 1
-                    for column, value in zip(out, (None, digest, None, None, name, int(first[i])), strict=True):
-                        column.append(value)
+        met: dict[bytes, list] = {}
+        out: list[list] = [[] for _ in names]
+        hashes_of: dict[bytes, list[bytes]] = {}
+
+        def flush() -> pa.RecordBatch:
             for digest, (anchor, context, n) in met.items():
                 for column, value in zip(out, (anchor, digest, context, n, None, None), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=list(names))
+            rows = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], names=list(names))
+            met.clear()
+            hashes_of.clear()
+            for column in out:
+                column.clear()
+            return rows
+
+        held = 0
+        for text in chain.from_iterable(_texts(batch) for batch in batches):
+            if len(text) < length or table is None:
+                continue
+            name = hashlib.md5(text).digest()
+            if name in hashes_of:  # the same text again: its contexts count, its places are known
+                for digest in hashes_of[name]:
+                    met[digest][2] += 1
+                continue
+            hashes, first, end = runs(text, length, gram)
+            segment, probes = places(hashes, bits)
+            at = np.minimum(np.searchsorted(segments, segment), len(segments) - 1)
+            hit = segments[at] == segment
+            for i in range(probes.shape[1]):
+                hit &= (table[at, probes[:, i] >> 3] >> (7 - (probes[:, i] & 7))) & 1 == 1
+            own = hashes_of[name] = []
+            for i in np.flatnonzero(hit):
+                context = text[first[i] : end[i] + length - 1]
+                digest = hashlib.md5(context).digest()
+                own.append(digest)
+                met.setdefault(digest, [int(hashes[i].view(np.int64)), context, 0])[2] += 1
+                held += len(context)
+                for column, value in zip(out, (None, digest, None, None, name, int(first[i])), strict=True):
+                    column.append(value)
+            if held > FLUSH_BYTES:
+                yield flush()
+                held = 0
+        yield flush()
 
     return contexts
 
