@@ -86,13 +86,15 @@ def test_stream_keeps_the_last_record(spark, tmp_path):
 
 def test_plan():
     names = lambda s: [x.name for x in s]
-    assert names(stages.plan(("plc", "mct"), False)) == ["measure", "solve", "convert", "convert", "label"]
-    assert names(stages.plan(("plc",), True)) == ["convert", "label"]
-    assert "geometry" in stages.explain(stages.plan(("plc",), True))
-    assert stages.root_of("mct", {"mct": "/a"}, "/p", lambda p: True) == "/a"
-    assert stages.root_of("mct", {}, "/p", lambda p: True) == "/p/mct"
+    assert names(stages.plan({"a": True, "b": False}, False)) == ["measure", "solve", "convert", "convert", "label"]
+    assert names(stages.plan({"a": True}, True)) == ["convert", "label"] and names(stages.plan({"b": False}, False)) == ["convert", "label"]
+    assert "geometry" in stages.explain(stages.plan({"a": True}, True))
+    assert stages.root_of("b", {"b": "/x"}, "/p", lambda p: True) == "/x"
+    assert stages.root_of("b", {}, "/p", lambda p: True) == "/p/b"
+    with pytest.raises(ValueError):
+        stages.plan({}, False)
     with pytest.raises(FileNotFoundError):
-        stages.root_of("mct", {}, "/p", lambda p: False)
+        stages.root_of("b", {}, "/p", lambda p: False)
     seen = []
-    stages.run(stages.plan(("mct",), True), {"convert": lambda s: seen.append(s.options["dataset"]), "label": lambda s: None})
-    assert seen == ["mct"]
+    stages.run(stages.plan({"b": False}, True), {"convert": lambda s: seen.append(s.options["dataset"]), "label": lambda s: None})
+    assert seen == ["b"]

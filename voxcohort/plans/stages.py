@@ -5,9 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-DATASETS = ("plc", "mct", "waw")
-
-
 @dataclass(frozen=True)
 class Stage:
     """A step, what it reads and what it makes."""
@@ -28,16 +25,15 @@ def root_of(dataset: str, explicit: dict[str, str], parent: str | None, exists:
     return found
 
 
-def plan(datasets: tuple[str, ...], geometry_done: bool, force: bool = False) -> list[Stage]:
-    """Geometry for the dataset that needs it (unless its table is there), conversion of each, then labels."""
-    unknown = set(datasets) - set(DATASETS)
-    if unknown or not datasets:
-        raise ValueError(f"unknown or no datasets: {sorted(unknown)}")
+def plan(datasets: dict[str, bool], geometry_done: bool, force: bool = False) -> list[Stage]:
+    """Geometry for datasets whose value says that they need it (unless its table is there), conversion of each, labels."""
+    if not datasets:
+        raise ValueError("no datasets")
     out = []
-    if "plc" in datasets and (force or not geometry_done):
+    if any(datasets.values()) and (force or not geometry_done):
         out += [Stage("measure", ("release",), ("measurements",)), Stage("solve", ("measurements",), ("geometry",))]
-    for name in datasets:
-        out.append(Stage("convert", ("release", *(("geometry",) if name == "plc" else ())), ("cases", "manifest"), {"dataset": name}))
+    for name, needs in datasets.items():
+        out.append(Stage("convert", ("release", *(("geometry",) if needs else ())), ("cases", "manifest"), {"dataset": name}))
     return [*out, Stage("label", ("cases", "manifest"), ("lesions", "labels"))]
 
 
