@@ -16,6 +16,8 @@ repeated rows are rows of their own; an empty table gives an empty table; other
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,11 @@ def _at_most(key: Column, bounds: list[tuple]) -> Column:
         return F.lit(0)
     step = max(1, round(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    literal = lambda rows: F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(d).cast("bigint").alias("d"), F.lit(r).cast("bigint").alias("r")) for k, d, r in rows])
-    first = F.size(F.filter(literal([g[0] for g in groups]), lambda b: b <= key))
-    return F.when(first == 0, 0).otherwise((first - 1) * step + F.size(F.filter(F.element_at(F.array(*[literal(g) for g in groups]), F.greatest(first, F.lit(1))), lambda b: b <= key)))
+    literal = lambda rows, kind: F.from_json(F.lit(json.dumps(rows)), kind)  # noqa: E731  folded to a constant once
+    named = lambda rows: [dict(zip("kdr", x, strict=True)) for x in rows]
+    kind = "array<struct<k:bigint,d:bigint,r:bigint>>"
+    first = F.size(F.filter(literal(named([g[0] for g in groups]), kind), lambda b: b <= key))
+    return F.when(first == 0, 0).otherwise((first - 1) * step + F.size(F.filter(F.element_at(literal([named(g) for g in groups], f"array<{kind}>"), F.greatest(first, F.lit(1))), lambda b: b <= key)))
 
 
 def shard(docs: DataFrame, shards: int = 16, ranges: int = 1024, per_range: int = 8, overfull: int = 4, whole_group: float = 0.01) -> DataFrame:
