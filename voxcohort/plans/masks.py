@@ -9,7 +9,7 @@ from ..functions.scalars import SIZE_BINS, diameter, ratio, size_bin, wilson
 from ..operators import evaluation as E
 from ..operators.components import contingency, drop_small, label_components
 from .registry import query, read, rounded
-from .voxels import SWEEP, THRESHOLDS, VOLUME, VOX, bin_of, cases, components, esd_of, evaluation, mask, voxels, wilson_of
+from .voxels import LEVELS, SWEEP, THRESHOLDS, VOLUME, VOX, bin_of, cases, components, esd_of, evaluation, mask, sweep, voxels, wilson_of
 
 KEYS = ("case_id",)
 def dataset_of():
@@ -28,11 +28,11 @@ def evaluated(spark: SparkSession, d: str, least: int = 0) -> tuple[DataFrame, D
     return every, rows, fps, E.case_totals_of(table, every)
 
 
-def swept(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def swept(spark: SparkSession, d: str, levels: tuple[int, ...] = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Cases, lesion rows, false positives and thresholds of the sweep."""
-    table = contingency(voxels(spark, d), "p255", THRESHOLDS)
+    table = contingency(voxels(spark, d), "p255", levels)
     rows, fps = (f(table, VOLUME).withColumn("dataset", dataset_of()) for f in (E.lesions_of, E.false_positives_of))
-    return cases(spark, d), rows, fps, spark.createDataFrame([(t,) for t in THRESHOLDS], "threshold int")
+    return cases(spark, d), rows, fps, spark.createDataFrame([(t,) for t in levels], "threshold int")
 
 
 @query(f"WITH RECURSIVE {VOX}, {components('g', mask('gt'))} SELECT case_id, v AS voxel_id, component FROM g")
@@ -298,21 +298,37 @@ fr AS (SELECT sc.scope, rb.report_bin, tk.k AS threshold, coalesce(lesions, 0) A
 """
 
 
-@query(evaluation(SWEEP) + _REPORT + f"SELECT scope, report_bin, threshold, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) + 0.0 AS ci95_low, round({_HIGH}, 6) AS ci95_high, fp_in_bin, round(fp_per_case, 6) AS fp_per_case FROM fr")
-def froc_curve(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.froc(*swept(spark, d)))
-
-
-@query(evaluation(SWEEP) + _REPORT + """, pt AS (SELECT scope, report_bin, fp_per_case AS x, detected::DOUBLE / lesions AS y, threshold FROM fr WHERE lesions > 0),
+_CURVE = f"SELECT scope, report_bin, threshold, lesions, detected, round(detected::DOUBLE / nullif(lesions, 0), 6) AS sensitivity, round({_LOW}, 6) + 0.0 AS ci95_low, round({_HIGH}, 6) AS ci95_high, fp_in_bin, round(fp_per_case, 6) AS fp_per_case FROM fr"
+_AT_TARGETS = """, pt AS (SELECT scope, report_bin, fp_per_case AS x, detected::DOUBLE / lesions AS y, threshold FROM fr WHERE lesions > 0),
 pr AS (SELECT scope, report_bin, row_number() OVER w AS i, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM pt WINDOW w AS (PARTITION BY scope, report_bin ORDER BY x, y, threshold DESC)),
 tg AS (SELECT unnest([0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS target),
 hit AS (SELECT scope, report_bin, target, arg_min(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (target - x0) / (x1 - x0) END, i) AS s FROM pr JOIN tg ON x0 <= target AND target <= x1 GROUP BY 1, 2, 3),
 fst AS (SELECT scope, report_bin, target, y0 AS s FROM pr, tg WHERE i = 1 AND abs(x0 - target) < 1e-9)
-SELECT g.scope, g.report_bin, g.target, round(coalesce(hit.s, fst.s), 6) AS sensitivity FROM (SELECT DISTINCT scope, report_bin, target FROM fr, tg) g LEFT JOIN hit USING (scope, report_bin, target) LEFT JOIN fst USING (scope, report_bin, target)""")
+SELECT g.scope, g.report_bin, g.target, round(coalesce(hit.s, fst.s), 6) AS sensitivity FROM (SELECT DISTINCT scope, report_bin, target FROM fr, tg) g LEFT JOIN hit USING (scope, report_bin, target) LEFT JOIN fst USING (scope, report_bin, target)"""
+#: The same over all thresholds of the sweep.
+_SWEPT_WHOLE = evaluation(sweep(LEVELS)) + _REPORT.replace(str(list(THRESHOLDS)), str(list(LEVELS)))
+
+
+@query(evaluation(SWEEP) + _REPORT + _CURVE)
+def froc_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(E.froc(*swept(spark, d)))
+
+
+@query(_SWEPT_WHOLE + _CURVE)
+def froc_curve_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(E.froc(*swept(spark, d, LEVELS)))
+
+
+@query(evaluation(SWEEP) + _REPORT + _AT_TARGETS)
 def froc_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.at_targets(E.froc(*swept(spark, d))))
 
 
+@query(_SWEPT_WHOLE + _AT_TARGETS)
+def froc_interpolate_whole(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(E.at_targets(E.froc(*swept(spark, d, LEVELS))))
+
+
 @query(_LESIONS + ", bridge AS (SELECT * FROM (VALUES ('0_5mm', '0_5mm'), ('5_10mm', '5_10mm'), ('10_15mm', '10_15mm'), ('gt_15mm', 'gt_15mm'), ('5_15mm', '5_10mm'), ('5_15mm', '10_15mm'), ('all', '0_5mm'), ('all', '5_10mm'), ('all', '10_15mm'), ('all', 'gt_15mm')) b(report_bin, size_bin)) SELECT report_bin, count(*) AS lesions, count(DISTINCT case_id) AS cases FROM s JOIN bridge USING (size_bin) GROUP BY 1")
 def overlapping_bins(spark: SparkSession, d: str) -> DataFrame:
     bridge = spark.createDataFrame([(r, b) for r, bins in E.REPORT_BINS.items() for b in bins], "report_bin string, size_bin string")

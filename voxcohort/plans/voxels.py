@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import evaluation as E
 from .registry import read
 
-#: mm3 of a voxel, and thresholds of the probability sweep (of 255).
+#: mm3 of a voxel; thresholds (of 255) of the short probability sweep and of the whole one.
 VOLUME = 60.0
 THRESHOLDS = (51, 90, 128, 179, 217)
+LEVELS = tuple(E.level_of(p) for p in E.THRESHOLDS)
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +50,11 @@ def mask(where: str) -> str:
     return f"SELECT 0 AS k, case_id, z, y, x, v FROM vox WHERE {where}"
 
 
-SWEEP = f"SELECT t.k, case_id, z, y, x, v FROM vox, (SELECT unnest({list(THRESHOLDS)}) AS k) t WHERE p255 >= t.k"
+def sweep(levels: tuple[int, ...]) -> str:
+    return f"SELECT t.k, case_id, z, y, x, v FROM vox, (SELECT unnest({list(levels)}) AS k) t WHERE p255 >= t.k"
+
+
+SWEEP = sweep(THRESHOLDS)
 
 
 def bin_of(d: str) -> str:
