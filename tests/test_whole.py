@@ -26,3 +26,15 @@ def test_the_sweep_has_all_thresholds(spark, faint):
 def test_targets_between_outer_thresholds_have_values(spark, faint):
     got = {r.target: r.sensitivity for r in QUERIES["froc_interpolate_whole"](spark, faint).collect() if (r.scope, r.report_bin) == ("overall", "all")}
     assert set(got) == set(FP_TARGETS) and got[0.125] == got[0.25] == got[0.5] == 1.0 and got[1.0] is None
+
+
+def test_masks_are_whole_and_may_be_empty(spark, tmp_path):
+    """Case 0: two true voxels, one of them found, far from every slab. Case 1: both masks empty."""
+    marks = {0 + 559: ("error", 70.0), 0 + 759: ("error", 50.0)}
+    rows = [(i, *marks.get(i, ("click", 1.0)), 0) for i in range(2000)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    run = lambda name: [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(run("mask_dice_whole")) == [(0, 0.666667, 0.666667), (1, None, 1.0)]
+    assert sorted(run("macro_mean_whole")) == [("D0", 1, 1, 0.666667), ("D1", 1, 0, None)]
+    assert sorted(r[:3] for r in run("wilson_interval_whole")) == [(0, 1, 2), (1, 0, 0)]
+    assert sorted(run("trim_profile_whole")) == [(0, 0, 1), (0, 1, 0), (0, 2, 1)]

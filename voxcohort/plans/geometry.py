@@ -87,7 +87,17 @@ def slice_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {VOX}, p AS (SELECT case_id, z, count(*) FILTER (WHERE gt AND x < 2 AND y < 5) AS n FROM vox GROUP BY 1, 2), e AS (SELECT case_id, min(z) AS z0, max(z) AS z1 FROM p WHERE n > 0 GROUP BY 1) SELECT case_id, z - z0 AS k, n FROM p JOIN e USING (case_id) WHERE z BETWEEN z0 AND z1")
 def trim_profile(spark: SparkSession, d: str) -> DataFrame:
-    p = voxels(spark, d).groupBy("case_id", "z").agg(F.count_if(F.expr("gt and x < 2 and y < 5")).alias("n"))
+    return trimmed_profile(spark, d, "gt and x < 2 and y < 5")
+
+
+@query(f"WITH {VOX}, p AS (SELECT case_id, z, count(*) FILTER (WHERE gt) AS n FROM vox GROUP BY 1, 2), e AS (SELECT case_id, min(z) AS z0, max(z) AS z1 FROM p WHERE n > 0 GROUP BY 1) SELECT case_id, z - z0 AS k, n FROM p JOIN e USING (case_id) WHERE z BETWEEN z0 AND z1")
+def trim_profile_whole(spark: SparkSession, d: str) -> DataFrame:
+    return trimmed_profile(spark, d, "gt")
+
+
+def trimmed_profile(spark: SparkSession, d: str, where: str) -> DataFrame:
+    """Counts by slice, from the first slice that has any to the last."""
+    p = voxels(spark, d).groupBy("case_id", "z").agg(F.count_if(F.expr(where)).alias("n"))
     ends = p.where("n > 0").groupBy("case_id").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
     return p.join(ends, "case_id").where("z between z0 and z1").select("case_id", (F.col("z") - F.col("z0")).alias("k"), "n")
 

@@ -117,8 +117,18 @@ def pooled_voxel_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {VOX}, t AS (SELECT case_id, dataset, 2.0 * count(*) FILTER (WHERE gt AND pred AND x < 2) / nullif(count(*) FILTER (WHERE gt AND x < 2) + count(*) FILTER (WHERE pred AND x < 2), 0) AS dice FROM vox GROUP BY 1, 2) SELECT dataset, count(*) AS cases, count(dice) AS defined, round(avg(dice), 6) AS case_tumour_dice_mean FROM t GROUP BY 1")
 def macro_mean(spark: SparkSession, d: str) -> DataFrame:
     """Mean of the defined Dice values of a thin slab, where both masks may be empty."""
-    slab = voxels(spark, d).where("x < 2")
-    totals = E.case_totals(cases(spark, d), slab.where("gt"), slab.where("pred"))
+    return mean_dice(spark, d, "x < 2")
+
+
+@query(f"WITH {VOX}, t AS (SELECT case_id, dataset, 2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0) AS dice FROM vox GROUP BY 1, 2) SELECT dataset, count(*) AS cases, count(dice) AS defined, round(avg(dice), 6) AS case_tumour_dice_mean FROM t GROUP BY 1")
+def macro_mean_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the defined Dice values of whole masks."""
+    return mean_dice(spark, d, "true")
+
+
+def mean_dice(spark: SparkSession, d: str, where: str) -> DataFrame:
+    part = voxels(spark, d).where(where)
+    totals = E.case_totals(cases(spark, d), part.where("gt"), part.where("pred"))
     return rounded(totals.groupBy("dataset").agg(F.count("*").alias("cases"), F.count("case_dice").alias("defined"), F.avg("case_dice").alias("case_tumour_dice_mean")))
 
 
@@ -132,7 +142,17 @@ _WL, _WH = wilson_of("k", "n")
 
 @query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred AND y = 0) AS k, count(*) FILTER (WHERE gt AND y = 0) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
 def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
-    t = voxels(spark, d).groupBy("case_id").agg(F.count_if(F.expr("gt and pred and y = 0")).alias("k"), F.count_if(F.expr("gt and y = 0")).alias("n"))
+    return covered_interval(spark, d, "y = 0")
+
+
+@query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred) AS k, count(*) FILTER (WHERE gt) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
+def wilson_interval_whole(spark: SparkSession, d: str) -> DataFrame:
+    return covered_interval(spark, d, "true")
+
+
+def covered_interval(spark: SparkSession, d: str, where: str) -> DataFrame:
+    """Of each case's true voxels where `where` holds, those found, with their interval; nulls where there are none."""
+    t = voxels(spark, d).groupBy("case_id").agg(F.count_if(F.expr(f"gt and pred and {where}")).alias("k"), F.count_if(F.expr(f"gt and {where}")).alias("n"))
     low, high = wilson(F.col("k"), F.col("n"))
     return rounded(t.select("case_id", "k", "n", low.alias("ci95_low"), high.alias("ci95_high")))
 
@@ -157,8 +177,19 @@ def mask_threshold(spark: SparkSession, d: str) -> DataFrame:
 round(coalesce(2.0 * count(*) FILTER (WHERE gt AND pred AND z < 2) / nullif(count(*) FILTER (WHERE gt AND z < 2) + count(*) FILTER (WHERE pred AND z < 2), 0), 1.0), 6) AS registered_dice FROM vox GROUP BY 1""")
 def mask_dice(spark: SparkSession, d: str) -> DataFrame:
     """Both conventions for two empty masks: null when evaluating, 1 when registering."""
-    slab = voxels(spark, d).where("z < 2")
-    out = E.case_totals(cases(spark, d), slab.where("gt"), slab.where("pred"))
+    return both_dice(spark, d, "z < 2")
+
+
+@query(f"""WITH {VOX} SELECT case_id, round(2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0), 6) AS evaluated_dice,
+round(coalesce(2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0), 1.0), 6) AS registered_dice FROM vox GROUP BY 1""")
+def mask_dice_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same over whole masks."""
+    return both_dice(spark, d, "true")
+
+
+def both_dice(spark: SparkSession, d: str, where: str) -> DataFrame:
+    part = voxels(spark, d).where(where)
+    out = E.case_totals(cases(spark, d), part.where("gt"), part.where("pred"))
     return rounded(out.select("case_id", F.col("case_dice").alias("evaluated_dice"), F.coalesce("case_dice", F.lit(1.0)).alias("registered_dice")))
 
 
