@@ -7,12 +7,14 @@ length, wins. Parsing starts anew every PIECE symbols, so that many pieces are p
 The model is fitted on a bounded sample: at most `docs_per_language` training documents for each label, drawn by hash,
 the first `chars_per_doc` symbols of each, and less where many labels share `model_cells` cells of transitions.
 
-Symbols: letters, lower-cased; runs of anything else are one separator; letters beyond the ALPHABET most frequent ones
-in the sample match nothing.
+Symbols: letters, lower-cased; runs of anything else are one separator. The ALPHABET most frequent letters of the sample
+have a symbol each, its others are spelled with two or three, so all are told apart; letters that no sample has match
+nothing.
 score: (second - best) / second of normalised phrases, 0 where the best two tie, 1 where only one language is learned.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text if nothing was learned; ties
-go to the label that sorts first; null labels and null doc_ids are not learned from; an empty table gives an empty table;
+go to the label that sorts first; a label is learned from its texts of LONG characters or more, from shorter ones if it has
+no other, and then counts phrases as the label with the longest text does; null labels and null doc_ids are not learned from; an empty table gives an empty table;
 other columns pass through, those named like the results are replaced.
 """
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keep_only, small_batches
 
-PIECE, ALPHABET = 128, 120
+PIECE, ALPHABET, LONG = 128, 120, 20
 GAP, PAD, OTHER, FIRST = 0, 1, 2, 3
 UNDEFINED = "und"
 
@@ -78,20 +80,26 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """Transition table of all languages' automata, one after the other."""
+    """Transition table of all languages' automata, one after the other. `short` has the labels without a long text."""
 
-    def __init__(self, samples: dict[str, list[str]], chars_per_doc: int, model_cells: int):
+    def __init__(self, samples: dict[str, list[str]], chars_per_doc: int, model_cells: int, short: tuple[str, ...] = ()):
         own, is_letter = sorted(samples), letters()
         counts = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        alphabet = sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET]
-        self.classes = np.where(is_letter, OTHER, GAP).astype(np.uint8)
+        alphabet = sorted(counts, key=lambda c: (-counts[c], c))
+        alphabet, rare = alphabet[:ALPHABET], sorted(alphabet[ALPHABET:])
+        self.places = 2 if len(rare) <= 64**2 else 3
+        self.base = next(b for b in range(65) if b**self.places >= len(rare))
+        self.lead = FIRST + len(alphabet)
+        self.width = self.lead + 2 * self.base
+        self.classes = np.where(is_letter, OTHER, GAP).astype(np.int32 if rare else np.uint8)
         for i, c in enumerate(alphabet):
             self.classes[ord(c)] = FIRST + i
-        self.width = FIRST + len(alphabet)
+        for i, c in enumerate(rare):
+            self.classes[ord(c)] = self.width + i
         most = max(1, model_cells // max(1, 2 * self.width * len(own)))  # an automaton has under 2 states a symbol
         self.languages, self.roots, self.scale, tables, at = own, [], [], [], 0
         for name in own:
-            parts = [np.append(symbols(t, self.classes)[:chars_per_doc], GAP) for t in samples[name]]
+            parts = [np.append(self.spelled(symbols(t, self.classes)[:chars_per_doc]), GAP) for t in samples[name]]
             text = np.concatenate(parts)[:most] if parts else np.zeros(0, np.uint8)
             go = automaton(text)
             table = np.full((len(go), self.width), -1, dtype=np.int32)
@@ -104,8 +112,20 @@ class Model:
             self.roots.append(at)
             self.scale.append(math.log2(len(text) + 2))
             at += len(go)
+        self.scale = [max(self.scale) if name in short else s for name, s in zip(own, self.scale, strict=True)]
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
+    def spelled(self, found: np.ndarray) -> np.ndarray:
+        """`found` with each rare letter as digits of its number, the first of them from symbols of its own."""
+        rare = found >= self.width
+        if not rare.any():
+            return found
+        n = np.where(rare, self.places, 1)
+        out, number, start = np.repeat(found, n), found[rare] - self.width, (np.cumsum(n) - n)[rare]
+        for k in range(self.places):
+            out[start + k] = self.lead + (self.base if k else 0) + number // self.base ** (self.places - 1 - k) % self.base
+        return out
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages) counts of phrases."""
         pieces = [max(1, -(-len(t) // PIECE)) for t in texts]
@@ -130,7 +150,7 @@ class Model:
         return np.add.reduceat(count, starts, axis=1).T + np.array(pieces)[:, None]
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        known = [symbols(t, self.classes) if t else np.zeros(0, np.uint8) for t in texts]
+        known = [self.spelled(symbols(t, self.classes)) if t else np.zeros(0, np.uint8) for t in texts]
         lettered = [len(t) > 0 and bool((t >= OTHER).any()) for t in known]
         out: list[tuple[str, float]] = [(UNDEFINED, 0.0)] * len(texts)
         which = [i for i, ok in enumerate(lettered) if ok]
@@ -151,8 +171,12 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def fit(docs: DataFrame, training: Column, docs_per_language: int = 60, chars_per_doc: int = 600, model_cells: int = 24_000_000) -> Model:
     """Learn from rows where `training` is true and lang is not null; only the sample reaches the driver."""
-    known = docs.where(training & F.col("lang").isNotNull() & (F.length("text") >= 20)).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    lettered = F.col("text").rlike(r"\p{L}")
+    known = docs.where(training & F.col("lang").isNotNull() & ((F.length("text") >= LONG) | lettered)).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
+    long = F.length("text") >= LONG
+    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(long).alias("long")).collect()  # a row for each label
+    counts, short = {r.lang: r.long or r.n for r in found}, tuple(r.lang for r in found if not r.long)
+    known = known.where(long | F.col("lang").isin(*short)) if short else known.where(long)
     if not counts:
         return Model({}, chars_per_doc, model_cells)
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(23)), 11) / F.lit(float(1 << 53))
@@ -162,7 +186,7 @@ def fit(docs: DataFrame, training: Column, docs_per_language: int = 60, chars_pe
     samples: dict[str, list[str]] = {}
     for r in ranked.select("lang", "rank", F.substring("text", 1, 4 * chars_per_doc).alias("text")).orderBy("lang", "rank").collect():
         samples.setdefault(r.lang, []).append(r.text)
-    return Model(samples, chars_per_doc, model_cells)
+    return Model(samples, chars_per_doc, model_cells, short)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
