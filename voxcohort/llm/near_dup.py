@@ -17,7 +17,7 @@ At the threshold a pair misses all buckets with probability (1 - 0.8^ROWS)^BANDS
 
 Defined cases: a text without words (or null) has an empty set and links with nothing; with fewer words than a shingle
 the whole sequence is the one shingle; a row with a null doc_id links with nothing, has a null component and is kept;
-rows with one doc_id are one document; ties go to the smallest doc_id; an empty table gives an empty table.
+rows with one doc_id are one document, which links by each of its texts; ties go to the smallest doc_id; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import CACHES, durable, keep_only, small_batches, text_or_empty
@@ -43,6 +43,8 @@ HEAD_ROWS, BLOCK = 500, 256
 FAR_BLOCK = 1024
 #: Ids that are broadcast, 8 bytes each.
 MOST_SENT = 1_000_000
+#: Parts in which classes are numbered.
+DEALT = 256
 #: Vocabulary columns of a block product.
 COLUMNS = 4096
 
@@ -127,7 +129,7 @@ def _describe(n: int):
                 for column, value in zip(out, (len(hashes), xxhash.xxh3_128_digest(hashes.tobytes()), None if sample is None else band_keys(sample), None if sample is None else odd_sketch(sample)), strict=True):
                     column.append(value)
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], names=["doc_id", "n_shingles", "set_hash", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], names=["doc_id", "text_key", "n_shingles", "set_hash", "bands", "sketch"])
 
     return describe
 
@@ -313,16 +315,24 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     """doc_id, n_shingles, component_id and kept of every row of `docs`; links have Jaccard similarity of at least
     `threshold` hundredths."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    known = durable(rows.mapInArrow(_describe(words), "doc_id bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch array<bigint>"), "shingle-sets")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_key", F.xxhash64("text"))
+    known = durable(rows.mapInArrow(_describe(words), "doc_id bigint, text_key bigint, n_shingles bigint, set_hash binary, bands array<bigint>, sketch array<bigint>"), "shingle-sets")
     full = known.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # One class for each set; its smallest doc_id stands for it.
-    classes = full.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
-    classes = durable(classes, "shingle-classes")
+    # One class for each set; its smallest doc_id stands for it, with that row's text.
+    first = F.min(F.struct("doc_id", "text_key")).alias("first")
+    classes = full.groupBy("set_hash").agg(first, F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = durable(classes.select("set_hash", F.col("first.doc_id").alias("id"), F.col("first.*"), "bands", "sketch"), "shingle-classes")
+    texts, same = rows.select(F.col("doc_id").alias("id"), "text"), None
+    sets = known.where("doc_id is not null").groupBy("doc_id").agg(F.min("set_hash").alias("a"), F.max("set_hash").alias("b"))
+    several = durable(sets.where("a <> b").select("doc_id"), "ids-of-several-sets")
+    if not several.isEmpty():
+        classes = durable(_apart(classes), "classes-apart")
+        texts = _own_texts(rows, classes, several)
+        same = durable(_same_document(_named(known, classes).join(several, "doc_id", "left_semi")), "same-documents")
     near, far = _families(classes, threshold / 100)
-    texts = rows.select(F.col("doc_id").alias("id"), "text")
     pairs = durable(near.where(F.col("bits") <= bits_at(threshold / 100, 6)).select("member", "head"), "candidates")
     links = durable(_links(pairs, _texts_of(pairs, texts), words, threshold), "near-links")
+    links = links if same is None else links.unionByName(same)
     labels = durable(components(links), "near-components")
     families = durable(components(near.select("member", "head").unionByName(far), "member", "head"), "near-families")
     more = durable(_residue(families, labels, texts, words, threshold), "family-links")
@@ -330,9 +340,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         labels = durable(components(links.unionByName(more)), "near-components")
     out = _named(known, classes).join(labels.withColumnRenamed("id", "class_id"), "class_id", "left")
     component = F.coalesce(F.col("component"), F.col("class_id"), F.col("doc_id"))
+    if same is not None:  # a row without words goes with the others of its document
+        whole = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.coalesce("component", "class_id")).alias("whole"))
+        out = out.join(whole, "doc_id", "left")
+        component = F.coalesce(F.col("whole"), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _apart(classes: DataFrame) -> DataFrame:
+    """`classes` with an id for each: of those with one smallest doc_id all but one get numbers above all doc_ids."""
+    shared = classes.groupBy("id").agg(F.count("*").alias("n"), F.min("set_hash").alias("owner")).where("n > 1").select("id", "owner")
+    rest = durable(classes.join(shared, "id").where("set_hash <> owner").select("set_hash", F.pmod(F.xxhash64("set_hash"), F.lit(DEALT)).alias("part")), "further-classes")
+    most = classes.agg(F.max("id")).first()[0]
+    number = F.row_number().over(Window.partitionBy("part").orderBy("set_hash")).cast("bigint")
+    numbered = rest.select("set_hash", (F.lit(most) + number * DEALT + F.col("part")).alias("other"))
+    return classes.join(numbered, "set_hash", "left").withColumn("id", F.coalesce("other", "id")).drop("other")
+
+
+def _own_texts(rows: DataFrame, classes: DataFrame, several: DataFrame) -> DataFrame:
+    """(id, text), where ids of several sets have the text of their class."""
+    owners = classes.join(several, "doc_id", "left_semi").select("id", "doc_id", "text_key")
+    own = rows.join(owners, ["doc_id", "text_key"]).select("id", "text")
+    return rows.join(several, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "text").unionByName(own)
+
+
+def _same_document(named: DataFrame) -> DataFrame:
+    """Links (a, b) from each document's smallest class to its others."""
+    held = durable(named.where("class_id is not null").select("doc_id", "class_id").distinct(), "sets-of-documents")
+    least = held.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+    return held.join(least, "doc_id").where("class_id <> a").select("a", F.col("class_id").alias("b"))
+
+
 def _texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """One text for each id that `pairs` name."""
     return _texts_with(pairs.select(F.col("member").alias("id")).unionByName(pairs.select(F.col("head").alias("id"))).distinct(), texts)
