@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, durable, keep_only, small_batches, text_or_empty
+from .common import BLANK, durable, free_name, join_hot, keep_only, small_batches, text_or_empty
 
 #: Bits of a segment, and bits set for a key, all within one segment.
 SEGMENT = 1 << 19
@@ -177,11 +177,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, bits_per
     shared = spark.sparkContext.broadcast(repeat_filter(docs, bits, min_chars))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     suspects = durable(texts.mapInArrow(_suspect(shared, bits, min_chars), "doc_id bigint, key binary"), "line-suspects")
-    # A null id is its own document, before all others.
-    seen = suspects.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
-    verdicts = seen.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper")
-    drops = suspects.join(verdicts, "key").where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy(F.col("doc_id").alias("__ld_id")).agg(F.collect_set("key").alias("__ld_keys"))
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("__ld_id")), "left")
-    joined = joined.withColumn("__ld_out", _cut(min_chars)(F.col("text"), F.col("__ld_keys")))
-    kept = [F.col("__ld_out.text").alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return joined.select(*kept, "__ld_out.n_lines", "__ld_out.n_dropped")
+    # A null id is its own document, before all others. A key is in `suspects` once for each row that holds it.
+    seen = suspects.groupBy("key", "doc_id").agg(F.count("*").alias("rows"))
+    verdicts = seen.groupBy("key").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper", "rows")
+    verdicts = durable(verdicts, "line-verdicts")
+    own, keys, out = (free_name(docs, x) for x in ("own_id", "own_keys", "own_cut"))
+    marked = join_hot(suspects, verdicts, "key", "rows", suspects.count()).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = marked.groupBy(F.col("doc_id").alias(own)).agg(F.collect_set("key").alias(keys))
+    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(own)), "left").withColumn(out, _cut(min_chars)(F.col("text"), F.col(keys)))
+    kept = [F.col(out)["text"].alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*kept, F.col(out)["n_lines"].alias("n_lines"), F.col(out)["n_dropped"].alias("n_dropped"))

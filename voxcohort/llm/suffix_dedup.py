@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, LENGTH, runs
-from .common import durable, keep_only, small_batches, text_or_empty
+from .common import durable, free_name, join_hot, keep_only, small_batches, text_or_empty
 from .line_dedup import _merge, packed, places
 
 #: Contexts of an anchor in one block, and bytes of contexts sorted at once.
@@ -276,8 +276,9 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, bit
     shared = spark.sparkContext.broadcast({r.segment: r.twice for r in merged.collect()})  # bounded by max_filter_bits
     found = durable(texts.mapInArrow(_contexts(shared, bits, length, gram), "anchor bigint, digest binary, context binary, n bigint, text_hash binary, start bigint"), "contexts")
     contexts = found.where("context is not null").select("anchor", "digest", "context", "n")
-    counts = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"), F.sum("n").alias("times")).where("times > 1").select("anchor", "salts")
-    dealt = contexts.join(counts, "anchor").withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int"))
+    counts = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts"), F.count("*").alias("rows"), F.sum("n").alias("times")).where("times > 1").select("anchor", "salts", "rows")
+    counts = durable(counts, "anchors")
+    dealt = join_hot(contexts, counts, "anchor", "rows", contexts.count()).withColumn("salt", F.pmod(F.xxhash64("digest"), F.col("salts")).cast("int"))
     dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "digest")
     solved = durable(dealt.select("anchor", "salt", "salts", "digest", "context", "n").mapInArrow(_find(length), "digest binary, starts array<struct<a:bigint,b:bigint>>, string binary, at bigint"), "repeated-starts")
     strings = solved.where("string is not null")
@@ -310,12 +311,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     small_batches(docs.sparkSession)
     spans = repeated_spans(docs.select(text_or_empty().alias("text")), length, gram)
     own = docs.select(*[c for c in docs.columns if c not in OUT])
-    key = F.unhex(F.md5(F.encode(text_or_empty(), "utf-8")))
-    joined = own.withColumn("__sd_key", key).join(spans.select(F.col("text_hash").alias("__sd_hash"), F.col("spans").alias("__sd_spans")), F.col("__sd_key") == F.col("__sd_hash"), "left")
+    key, name, at, cuts = (free_name(own, x) for x in ("own_key", "text_hash", "text_spans", "own_cut"))
+    spans = spans.select(F.col("text_hash").alias(name), F.col("spans").alias(at))
+    joined = own.withColumn(key, F.unhex(F.md5(F.encode(text_or_empty(), "utf-8")))).join(spans, F.col(key) == F.col(name), "left")
 
     @F.arrow_udf("struct<kept:binary,spans:array<struct<a:bigint,b:bigint>>,n_bytes:bigint,n_removed:bigint,n_spans:bigint>")
     def removed(texts: pa.Array, found: pa.Array) -> pa.Array:
         return pa.array([cut(t or b"", s) for t, s in zip(texts.cast(pa.binary()).to_pylist(), found.to_pylist(), strict=True)], KIND)
 
-    out = joined.withColumn("__sd_out", removed(F.col("text"), F.col("__sd_spans")))
-    return out.select(*own.columns, *[f"__sd_out.{c}" for c in OUT])
+    out = joined.withColumn(cuts, removed(F.col("text"), F.col(at)))
+    return out.select(*own.columns, *[F.col(cuts)[c].alias(c) for c in OUT])
