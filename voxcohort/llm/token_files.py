@@ -3,7 +3,8 @@
 Each id is split into 8-bit chunks, lowest first. Level 0 has one byte for each token; level k has a byte for each
 token with more than k chunks. A bitmap for each level tells which of its tokens continue on the next, and a rank
 directory has the number of set bits before every RANK bits. So token i is found by one byte and one rank a level,
-without decoding a block.
+without decoding a block, and so is a run of tokens: at each level it is one slice, between the ranks of its ends. All
+reading goes through these ranks; the files are not compressed, so that nothing has to be inflated first.
 
 A file is a part of a Parquet table, one for each range of doc_ids; its rows are blocks of whole documents:
 (shard, block, shard_start, doc_ids, lengths, codes), `codes` being the bytes below. Blocks are in ascending doc_id order.
@@ -54,7 +55,7 @@ def encode_codes(ids: np.ndarray) -> bytes:
 
 
 class Codes:
-    """Reads the bytes of `encode_codes`: `get(i)` for one token, `all()` for every token."""
+    """Reads the bytes of `encode_codes`: `get(i)` for one token, `run(a, b)` for those from a to b (excluded)."""
 
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
@@ -69,6 +70,13 @@ class Codes:
             self.levels.append((chunks, bitmap, ranks))
             at += sizes[0] + sizes[1] + 4 * sizes[2]
 
+    @staticmethod
+    def _rank(bitmap: np.ndarray, ranks: np.ndarray, i: int) -> int:
+        """Set bits before bit i: the directory's entry, and the bits between it and i."""
+        from_, to = i // RANK * (RANK // 8), i >> 3
+        rest = int(bitmap[to]) & ((1 << (i & 7)) - 1) if i & 7 else 0
+        return int(ranks[i // RANK]) + int(np.bitwise_count(bitmap[from_:to]).sum()) + rest.bit_count()
+
     def get(self, i: int) -> int:
         if not 0 <= i < self.n:
             raise IndexError(i)
@@ -77,17 +85,24 @@ class Codes:
             value |= int(chunks[i]) << (8 * k)
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            from_, inside = i // RANK * (RANK // 8), i % RANK
-            bits = np.unpackbits(bitmap[from_ : from_ + RANK // 8], bitorder="little")[:inside]
-            i = int(ranks[i // RANK]) + int(bits.sum())
+            i = self._rank(bitmap, ranks, i)
         return value
 
-    def all(self) -> np.ndarray:
-        value = None
-        for chunks, bitmap, _ in reversed(self.levels):
+    def run(self, a: int, b: int) -> np.ndarray:
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        slices = []
+        for chunks, bitmap, ranks in self.levels:
+            if a == b:
+                break
+            more = np.unpackbits(bitmap[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].view(bool)
+            slices.append((chunks[a:b], more))
+            a = self._rank(bitmap, ranks, a)
+            b = a + int(np.count_nonzero(more))
+        value = np.zeros(0, np.uint32)
+        for chunks, more in reversed(slices):
             own = chunks.astype(np.uint32)
-            if value is not None:
-                own[np.unpackbits(bitmap, bitorder="little", count=len(chunks)).view(bool)] |= value << 8
+            own[more] |= value << 8
             value = own
         return value
 
@@ -123,13 +138,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word",
     total = docs.select(F.sum(F.octet_length(text_or_empty()) + 1)).first()[0] or 0
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("r"))
     ranged = rows.repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "r").sortWithinPartitions("doc_id", "r").select("doc_id", "text")
-    ranged.mapInArrow(_write(tokenizer, kind, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
+    ranged.mapInArrow(_write(tokenizer, kind, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            ids, ends = Codes(row["codes"]).all(), np.cumsum(row["lengths"])
+            codes, ends = Codes(row["codes"]), np.cumsum(row["lengths"])
             starts = ends - row["lengths"]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -137,19 +152,60 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(row["doc_ids"], pa.int64()),
                     pa.array(starts + row["shard_start"], pa.int64()),
                     pa.array(row["lengths"], pa.int64()),
-                    pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                    pa.array([codes.run(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
                 ],
                 names=["shard", "doc_id", "shard_start", "n_tokens", "ids"],
             )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit."""
-    small_batches(spark, 8)
-    blocks = spark.read.schema(SCHEMA).parquet(path)
-    sums = blocks.groupBy("shard").agg(F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n"))  # a row for each file
+def _tokens_in(lengths: str = "lengths"):
+    return F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _bases(blocks: DataFrame) -> tuple[DataFrame, bool]:
+    """(shard, base): tokens of all files before each; and whether these are few enough to be broadcast."""
+    sums = blocks.groupBy("shard").agg(F.sum(_tokens_in()).alias("n"))  # a row for each file
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    few = blocks.select("shard").distinct().limit(MOST_SENT + 1).count() <= MOST_SENT
+    return bases, blocks.select("shard").distinct().limit(MOST_SENT + 1).count() <= MOST_SENT
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit. Each
+    document is read as the run of tokens that it is."""
+    small_batches(spark)
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    bases, few = _bases(blocks)
     rows = blocks.mapInArrow(_read, "shard int, doc_id bigint, shard_start bigint, n_tokens bigint, ids binary")
     return rows.join(F.broadcast(bases) if few else bases, "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids")
+
+
+def _get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows are sorted by block, its codes before the positions that are asked of it."""
+    codes = None
+    for batch in batches:
+        asked, found = [], []
+        for data, position, at in zip(*(batch.column(c).to_pylist() for c in ("codes", "position", "at")), strict=True):
+            if data is not None:
+                codes = Codes(data)
+            else:
+                asked.append(position)
+                found.append(codes.get(at))
+        yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.int64())], names=["position", "token"])
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token) for each row of `positions` (column `position`, counted over all files) that the files have;
+    only blocks that are asked of are shuffled, and of those only the tokens asked for are decoded."""
+    small_batches(spark)
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    bases, few = _bases(blocks)
+    index = blocks.select("shard", "block", "shard_start", _tokens_in().alias("n")).join(F.broadcast(bases) if few else bases, "shard")
+    index = index.select("shard", "block", (F.col("base") + F.col("shard_start")).alias("first"), "n")
+    spans = index.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.floor((F.col("first") + F.col("n") - 1) / BLOCK))).alias("part"))
+    wanted = positions.select(F.col("position").cast("bigint").alias("position")).withColumn("part", F.floor(F.col("position") / BLOCK))
+    asked = wanted.join(spans, "part").where((F.col("position") >= F.col("first")) & (F.col("position") < F.col("first") + F.col("n")))
+    asked = asked.select("shard", "block", F.lit(None).cast("binary").alias("codes"), "position", (F.col("position") - F.col("first")).alias("at"))
+    held = blocks.join(asked.select("shard", "block").distinct(), ["shard", "block"], "left_semi").select("shard", "block", "codes", F.lit(None).cast("bigint").alias("position"), F.lit(None).cast("bigint").alias("at"))
+    dealt = held.unionByName(asked).repartition("shard", "block").sortWithinPartitions("shard", "block", F.col("position").asc_nulls_first())
+    return dealt.select("codes", "position", "at").mapInArrow(_get, "position bigint, token bigint")
