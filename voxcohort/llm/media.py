@@ -6,8 +6,9 @@ carries the random-access indicator and a clock reference. Reading parses PAT an
 continuity counters of every PID, reassembles PES packets and keeps timestamps and random-access points.
 
 Defined cases: a null payload gives null media and null features; an empty payload is a stream of tables alone; equal
-payloads give equal media; very long payloads are many units, handled one row at a time; other columns pass through.
-A damaged stream raises nothing: errors are counted in `errors`.
+payloads give equal media; very long payloads are many units, handled one row at a time; repeated rows are stored as often
+as they occur; an empty table gives an empty table; other columns pass through, those named like the result (`media`,
+`stream`) are replaced. A damaged stream raises nothing: errors are counted in `errors`.
 """
 
 from __future__ import annotations

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable_path, table, text_or_empty
+from .common import durable, durable_path, table, text_or_empty
 from .embedding_dedup import embedding_duplicates
 from .language import fit, held_out, identify
 from .line_dedup import line_dedup
@@ -51,14 +51,18 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def padded(text: Column, unit: int = 576) -> Column:
+    """The text's UTF-8 bytes with bytes 255 up to a positive multiple of `unit`."""
+    data = F.encode(text, "utf-8")
+    n = F.octet_length(data)
+    size = F.greatest(F.lit(unit), F.ceil(n / unit) * unit)
+    return F.concat(data, F.unhex(F.repeat(F.lit("ff"), (size - n).cast("int"))))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.encode(text_or_empty(), "utf-8")
-    n = F.octet_length(text)
-    size = F.greatest(F.lit(576), F.ceil(n / 576) * 576)
-    padding = F.repeat(F.lit("ff"), (size - n).cast("int"))
-    payload = F.concat(text, F.unhex(padding))
-    rows = table(spark, sf_dir, "documents").select("doc_id", n.cast("bigint").alias("n_bytes"), payload.alias("payload"))
-    rows = read(store(rows, F.col("payload")).drop("payload"), F.col("media"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(text_or_empty()).cast("bigint").alias("n_bytes"), padded(text_or_empty()).alias("payload"))
+    stored = durable(store(rows, F.col("payload")).drop("payload"), "media")  # the stored form is written, and read back
+    rows = read(stored, F.col("media"))
     back = F.col("stream.payload")
     return rows.select(
         "doc_id", "n_bytes", F.octet_length(back).cast("bigint").alias("payload_bytes"), F.sha2(back, 256).alias("payload_sha256"), F.crc32(F.substring(back, -32, 32)).alias("tail_crc32"),
