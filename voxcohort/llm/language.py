@@ -2,7 +2,11 @@
 
 For each language a suffix automaton is built over labelled text. A text is parsed greedily: each phrase is the longest
 string that the language's text has. The language needing the fewest phrases, normalised by the logarithm of its text's
-length, wins. Parsing starts anew every PIECE symbols, so that many pieces are parsed side by side.
+length, wins.
+
+A text is parsed whole, in pieces of PIECE symbols side by side: each piece is first parsed as if a phrase began with it,
+and parsed again from where the piece before it really ends until the two parses meet, which is within a few phrases.
+What still differs after SWEEPS such rounds is parsed in order. Phrases are those of one parse from start to end.
 
 The model is fitted on a bounded sample: at most `docs_per_language` training documents for each label, drawn by hash,
 the first `chars_per_doc` symbols of each, and less where many labels share `model_cells` cells of transitions.
@@ -13,9 +17,10 @@ nothing.
 score: (second - best) / second of normalised phrases, 0 where the best two tie, 1 where only one language is learned.
 
 Defined cases: a null text or one without a letter is `und` with score 0, as is every text if nothing was learned; ties
-go to the label that sorts first; a label is learned from its texts of LONG characters or more, from shorter ones if it has
-no other, and then counts phrases as the label with the longest text does; null labels and null doc_ids are not learned from; an empty table gives an empty table;
-other columns pass through, those named like the results are replaced.
+go to the label that sorts first; a label is learned from all of its texts that have a letter, and one whose sample is
+less than half of the longest counts phrases as the longest does, so that few symbols are no advantage; null labels and
+null doc_ids are not learned from; an empty table gives an empty table; other columns pass through, those named like the
+results are replaced.
 """
 
 from __future__ import annotations
@@ -28,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_only, small_batches
+from .common import free_name, keep_only, small_batches
 
-PIECE, ALPHABET, LONG = 128, 120, 20
+PIECE, ALPHABET, SWEEPS = 128, 120, 4
 GAP, PAD, OTHER, FIRST = 0, 1, 2, 3
 UNDEFINED = "und"
 
@@ -80,9 +85,9 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """Transition table of all languages' automata, one after the other. `short` has the labels without a long text."""
+    """Transition table of all languages' automata, one after the other."""
 
-    def __init__(self, samples: dict[str, list[str]], chars_per_doc: int, model_cells: int, short: tuple[str, ...] = ()):
+    def __init__(self, samples: dict[str, list[str]], chars_per_doc: int, model_cells: int):
         own, is_letter = sorted(samples), letters()
         counts = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
         alphabet = sorted(counts, key=lambda c: (-counts[c], c))
@@ -97,7 +102,7 @@ class Model:
         for i, c in enumerate(rare):
             self.classes[ord(c)] = self.width + i
         most = max(1, model_cells // max(1, 2 * self.width * len(own)))  # an automaton has under 2 states a symbol
-        self.languages, self.roots, self.scale, tables, at = own, [], [], [], 0
+        self.languages, self.roots, sizes, tables, at = own, [], [], [], 0
         for name in own:
             parts = [np.append(self.spelled(symbols(t, self.classes)[:chars_per_doc]), GAP) for t in samples[name]]
             text = np.concatenate(parts)[:most] if parts else np.zeros(0, np.uint8)
@@ -110,9 +115,9 @@ class Model:
             table[:, PAD] = np.arange(len(go)) + at
             tables.append(table)
             self.roots.append(at)
-            self.scale.append(math.log2(len(text) + 2))
+            sizes.append(len(text))
             at += len(go)
-        self.scale = [max(self.scale) if name in short else s for name, s in zip(own, self.scale, strict=True)]
+        self.scale = [math.log2((n if 2 * n >= max(sizes) else max(sizes)) + 2) for n in sizes]
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
     def spelled(self, found: np.ndarray) -> np.ndarray:
@@ -126,28 +131,62 @@ class Model:
             out[start + k] = self.lead + (self.base if k else 0) + number // self.base ** (self.places - 1 - k) % self.base
         return out
 
+    def _restarts(self) -> np.ndarray:
+        """(languages, symbols): the state after a symbol that starts a phrase."""
+        roots = np.array(self.roots, dtype=np.int32)[:, None]
+        first = self.table[(roots * self.width + np.arange(self.width)).ravel()].reshape(len(roots), self.width)
+        return np.where(first < 0, roots, first)
+
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """(texts, languages) counts of phrases."""
-        pieces = [max(1, -(-len(t) // PIECE)) for t in texts]
-        grid = np.full((sum(pieces), PIECE), PAD, dtype=np.int32)
+        pieces = np.array([max(1, -(-len(t) // PIECE)) for t in texts])
+        grid = np.full((pieces.sum(), PIECE), PAD, dtype=np.int32)
         flat, at = grid.ravel(), 0
         for t, n in zip(texts, pieces, strict=True):
             flat[at : at + len(t)] = t
             at += n * PIECE
-        grid = np.ascontiguousarray(grid.T)
-        roots = np.array(self.roots, dtype=np.int32)[:, None]
-        state = np.broadcast_to(roots, (len(roots), grid.shape[1])).copy()
-        count = np.zeros(state.shape, dtype=np.int32)
-        again = [self.table.take(roots * self.width + c).astype(np.int32) for c in range(self.width)]
-        restart = np.concatenate(again, axis=1)  # state after a symbol that starts a phrase
-        restart = np.where(restart < 0, roots, restart)
-        for row in grid:
-            to = self.table.take(state * self.width + row)
-            missed = to < 0
-            count += missed
-            state = np.where(missed, restart.take(row, axis=1), to)
-        starts = np.concatenate([[0], np.cumsum(pieces)[:-1]])
-        return np.add.reduceat(count, starts, axis=1).T + np.array(pieces)[:, None]
+        first = np.cumsum(pieces) - pieces
+        # A column is a piece of a text in a language; its symbols go down.
+        languages, columns = len(self.roots), grid.shape[0]
+        grid, restart = np.ascontiguousarray(grid.T), self._restarts().ravel()
+        entry = np.repeat(np.array(self.roots, dtype=np.int32), columns)
+        trail = np.empty((PIECE, languages * columns), dtype=np.int32)  # states after each symbol
+        missed = np.empty((PIECE, languages * columns), dtype=bool)
+        begins = np.zeros(columns, dtype=bool)
+        begins[first] = True
+        inner = np.flatnonzero(~np.tile(begins, languages))
+
+        def parse(which: np.ndarray, settled: bool) -> None:
+            """Parse these pieces from their entries; where `settled`, only until they meet the parse before."""
+            state, symbol_at, base = entry[which], which % columns, which // columns * self.width
+            for k in range(PIECE):
+                symbol = grid[k, symbol_at]
+                to = self.table.take(state * self.width + symbol)
+                miss = to < 0
+                state = np.where(miss, restart.take(base + symbol), to)
+                if settled:
+                    met = trail[k, which] == state
+                    missed[k, which], trail[k, which] = miss, state
+                    if met.any():
+                        apart = ~met
+                        which, state, symbol_at, base = which[apart], state[apart], symbol_at[apart], base[apart]
+                        if not len(which):
+                            return
+                else:
+                    missed[k, which], trail[k, which] = miss, state
+
+        parse(np.arange(languages * columns), False)
+        for sweep in range(SWEEPS + int(pieces.max())):
+            changed = inner[trail[-1, inner - 1] != entry[inner]]
+            if not len(changed):
+                break
+            if sweep >= SWEEPS:  # in order: no piece before one that comes next is still wrong
+                texts_of = np.searchsorted(first, changed % columns, side="right") + changed // columns * len(first)
+                changed = changed[np.unique(texts_of, return_index=True)[1]]
+            entry[changed] = trail[-1, changed - 1]
+            parse(changed, True)
+        count = missed.sum(axis=0, dtype=np.int32).reshape(languages, columns)
+        return np.add.reduceat(count, first, axis=1).T + 1
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         known = [self.spelled(symbols(t, self.classes)) if t else np.zeros(0, np.uint8) for t in texts]
@@ -171,22 +210,22 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def fit(docs: DataFrame, training: Column, docs_per_language: int = 60, chars_per_doc: int = 600, model_cells: int = 24_000_000) -> Model:
     """Learn from rows where `training` is true and lang is not null; only the sample reaches the driver."""
-    lettered = F.col("text").rlike(r"\p{L}")
-    known = docs.where(training & F.col("lang").isNotNull() & ((F.length("text") >= LONG) | lettered)).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
-    long = F.length("text") >= LONG
-    found = known.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(long).alias("long")).collect()  # a row for each label
-    counts, short = {r.lang: r.long or r.n for r in found}, tuple(r.lang for r in found if not r.long)
-    known = known.where(long | F.col("lang").isin(*short)) if short else known.where(long)
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
     if not counts:
         return Model({}, chars_per_doc, model_cells)
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(23)), 11) / F.lit(float(1 << 53))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * docs_per_language / n))]), F.col("lang"))
-    drawn = known.withColumn("u", draw).where(F.col("u") < share)
+    drawn = known.withColumn("u", draw)
+    # Only frequent labels are thinned before they are ranked; the others are few rows each.
+    shares = {k: 4.0 * docs_per_language / n for k, n in counts.items() if n > 8 * docs_per_language}
+    if shares:
+        share = F.try_element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+        drawn = drawn.where(F.col("u") < F.coalesce(share, F.lit(1.0)))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "text"))).where(F.col("rank") <= docs_per_language)
     samples: dict[str, list[str]] = {}
     for r in ranked.select("lang", "rank", F.substring("text", 1, 4 * chars_per_doc).alias("text")).orderBy("lang", "rank").collect():
         samples.setdefault(r.lang, []).append(r.text)
-    return Model(samples, chars_per_doc, model_cells, short)
+    return Model(samples, chars_per_doc, model_cells)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -201,6 +240,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         found = shared.value.predict(texts.to_pylist())
         return pa.array([{"lang": a, "score": b} for a, b in found], pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*kept, predicted(F.col(text)).alias("__li"))
-    return out.select(*kept, F.col("__li.lang").alias("lang_pred"), F.col("__li.score").alias("score"))
+    kept, found = [c for c in docs.columns if c not in ("lang_pred", "score")], free_name(docs, "found")
+    out = docs.select(*kept, predicted(F.col(text)).alias(found))
+    return out.select(*kept, F.col(found)["lang"].alias("lang_pred"), F.col(found)["score"].alias("score"))
