@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from .common import durable, small_batches
 from .graph import components
 
-BLOCK = 1024
+#: Classes of a block, and of those the rows that are multiplied at once.
+BLOCK, STRIP = 4096, 512
 #: Classes of a label for each cell, and the most cells.
-CELL_ROWS, MOST_CELLS = 1000, 256
+CELL_ROWS, MOST_CELLS = 2000, 1024
 ROUNDS = 8
 
 
-def unit(rows: list) -> np.ndarray:
-    x = np.array(rows, dtype=np.float64)
+def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)  # very small and very large vectors keep their direction
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -52,27 +52,33 @@ def centres_of(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists without nulls, and where each list starts."""
+    return column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy() - column.offsets[0].as_py()
+
+
 def _assign(shared, threshold: float):
     reach = (2 - 2 * threshold) ** 0.5 / 2 + 1e-9
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = {size: np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) for size, c in shared.value.items()}  # centres are unit
         for batch in batches:
-            vectors = batch.column("embedding").to_pylist()
-            homes, guests = [0] * len(vectors), [[]] * len(vectors)
-            for size in {len(v) for v in vectors}:
-                at = [i for i, v in enumerate(vectors) if len(v) == size]
+            values, starts = flat(batch.column("embedding"))
+            sizes = np.diff(starts)
+            homes, guests = np.zeros(len(sizes), dtype=np.int32), [[]] * len(sizes)
+            for size in np.unique(sizes).tolist():
                 if (c := shared.value.get(size)) is None:
                     continue  # one cell
-                x = unit([vectors[i] for i in at])
-                sims = x @ c.T
+                at = np.flatnonzero(sizes == size)
+                sims = unit(values[starts[at][:, None] + np.arange(size)]) @ c.T
                 home = np.argmax(sims, axis=1)
-                gap = np.sqrt(np.maximum(0, ((c[home][:, None, :] - c[None, :, :]) ** 2).sum(axis=2)))
-                close = sims[np.arange(len(x)), home][:, None] - sims <= reach * gap
-                close[np.arange(len(x)), home] = False
-                for i, h, row in zip(at, home, close, strict=True):
-                    homes[i], guests[i] = int(h), np.flatnonzero(row).tolist()
+                close = sims[np.arange(len(at)), home][:, None] - sims <= reach * apart[size][home]
+                close[np.arange(len(at)), home] = False
+                homes[at] = home
+                for i, row in zip(at, close, strict=True):
+                    guests[i] = np.flatnonzero(row).tolist()
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("id", "label", "n", "embedding")], pa.array([len(v) for v in vectors], pa.int32()), pa.array(homes, pa.int32()), pa.array(guests, pa.list_(pa.int32()))],
+                [*[batch.column(c) for c in ("id", "label", "n", "embedding")], pa.array(sizes.astype(np.int32)), pa.array(homes), pa.array(guests, pa.list_(pa.int32()))],
                 names=["id", "label", "n", "embedding", "dim", "home", "guests"],
             )
 
@@ -82,57 +88,70 @@ def _assign(shared, threshold: float):
 def merged(labels: np.ndarray, hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """`labels` after joining left[i] with all right[j] where hits[i, j]."""
     for i in np.flatnonzero(hits.any(axis=1)):
-        met = np.unique(np.append(labels[right[hits[i]]], labels[left[i]]))
-        if len(met) > 1:
+        met = labels[right[hits[i]]]
+        if (met != labels[left[i]]).any():
+            met = np.unique(np.append(met, labels[left[i]]))
             labels[np.isin(labels, met)] = met[0]
     return labels
 
 
+KEYS = ("label", "dim", "cell", "bi", "bj")
+
+
 def _compare(threshold: float):
-    def compare(name: tuple, rows: list[tuple]) -> tuple[list, list, list]:
-        ids, n, vectors, homes, guests, sides, roles = (list(x) for x in zip(*rows, strict=True))
-        side = np.array(sides)
+    def compare(cell: int, same: bool, parts: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, weight, x, home, side, role = (np.concatenate([p[k] for p in parts]) for k in ("id", "n", "x", "home", "side", "role"))
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        same = name[3] == name[4]
-        if same:
-            right = left
-        if not len(left) or not len(right):
-            return [], [], []
-        x, cell, weight = unit(vectors), name[2], np.array(n, dtype=np.int64)
-        hits = x[left] @ x[right].T >= threshold
-        if same:
-            np.fill_diagonal(hits, False)
-        home, guest = np.array(homes), np.array([r == 1 for r in roles])
-        if guest[right].any():
-            # Such a pair meets in the guest's own cell as well if the other is a guest there.
+        right = left if same else right
+        links, labels = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        if len(left) and len(right):
+            x = unit(x)
+            # A pair of a home and a guest meets in the guest's own cell as well if the home is a guest there.
             width = int(home.max()) + 1
-            back = np.zeros((len(left), width), dtype=bool)
-            for i, k in enumerate(left):
-                if own := [g for g in guests[k] if g < width]:
-                    back[i, own] = True
-            twice = back[:, home[right]] & (guest[right] & (home[right] < cell))[None, :]
-            hits &= ~twice
-        links = np.zeros(len(rows), dtype=np.int64)
-        np.add.at(links, left, hits @ weight[right])
-        if not same:
-            np.add.at(links, right, hits.T @ weight[left])
-        labels = merged(np.arange(len(rows)), hits, left, right)
+            back = np.zeros((len(ids), width), dtype=bool) if (role[right] == 1).any() else None
+            if back is not None:
+                own, at = np.concatenate([p["guests"] for p in parts]), np.repeat(np.arange(len(ids)), np.concatenate([p["n_guests"] for p in parts]))
+                back[at[own < width], own[own < width]] = True
+                earlier = (role[right] == 1) & (home[right] < cell)
+            for a in range(0, len(left), STRIP):
+                own = left[a : a + STRIP]
+                hits = x[own] @ x[right].T >= threshold
+                if same:
+                    hits[np.arange(len(own)), a + np.arange(len(own))] = False
+                if back is not None:
+                    hits &= ~(back[own][:, home[right]] & earlier[None, :])
+                links[own] += hits @ weight[right]
+                if not same:
+                    links[right] += hits.T @ weight[own]
+                labels = merged(labels, hits, own, right)
         touched = np.flatnonzero(links)
-        return [ids[i] for i in touched], links[touched].tolist(), [ids[labels[i]] for i in touched]
+        return ids[touched], links[touched], ids[labels[touched]]
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, held = None, []
-        fields = ("label", "dim", "cell", "bi", "bj", "id", "n", "embedding", "home", "guests", "side", "role")
-        for batch in chain(batches, [None]):
-            out: tuple[list, list, list] = ([], [], [])
-            rows = [(None,) * len(fields)] if batch is None else zip(*(batch.column(c).to_pylist() for c in fields), strict=True)
-            for row in rows:
-                if row[:5] != name:
-                    for column, values in zip(out, compare(name, held) if held else out, strict=True):
-                        column.extend(values if held else [])
-                    name, held = row[:5], []
-                held.append(row[5:])
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(("id", "links", "root"), out, strict=True)})
+
+        def done() -> pa.RecordBatch:
+            found = compare(name[2], name[3] == name[4], held)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["id", "links", "root"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in KEYS], axis=1)
+            if not len(keys):
+                continue
+            plain = {k: batch.column(k).to_numpy() for k in ("id", "n", "home", "side", "role")}
+            values, starts = flat(batch.column("embedding"))
+            guests, first = flat(batch.column("guests"))
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True):
+                own = tuple(keys[a].tolist())
+                if own != name:
+                    if held:
+                        yield done()
+                    name, held = own, []
+                part = {k: v[a:b] for k, v in plain.items()}
+                held.append(part | {"x": values[starts[a] : starts[b]].reshape(b - a, own[1]), "guests": guests[first[a] : first[b]], "n_guests": np.diff(first[a : b + 1])})
+        if held:
+            yield done()
 
     return blocks
 
@@ -147,7 +166,7 @@ def _centres(classes: DataFrame, fit_rows: int) -> dict[int, np.ndarray]:
             continue
         draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(5)), 11) / F.lit(float(1 << 53))
         sample = classes.where((F.size("embedding") == dim) & (draw < fit_rows / rows)).select("id", "embedding").orderBy("id").limit(fit_rows).collect()
-        out[dim] = centres_of(unit([r.embedding for r in sample]), k)
+        out[dim] = centres_of(unit(np.array([r.embedding for r in sample])), k)
     return out
 
 
