@@ -40,9 +40,9 @@ docs AS (
 ), placed AS (
   SELECT *, sum(size) OVER (ORDER BY k, doc_id) - size AS start, row_number() OVER (ORDER BY k, doc_id) - 1 AS ordinal, sum(size) OVER () AS total FROM rows
 ), grouped AS (
-  SELECT *, min(start) OVER (PARTITION BY k) AS g0, max(start) OVER (PARTITION BY k) AS g1, sum(size) OVER (PARTITION BY k) AS gs FROM placed
+  SELECT *, min(start) OVER (PARTITION BY k) AS g0, sum(size) OVER (PARTITION BY k) AS gs FROM placed
 ), dealt AS (
-  SELECT doc_id, size, text_crc32, ordinal, least(15, floor((CASE WHEN gs * 16 <= 0.01 * total THEN g0 ELSE start END) * 16 / total))::INTEGER AS shard FROM grouped
+  SELECT doc_id, size, text_crc32, ordinal, least(15, floor((CASE WHEN gs * 16 <= 0.01 * total THEN 2 * g0 + gs ELSE 2 * start + size END) * 16 / (2 * total)))::INTEGER AS shard FROM grouped
 )
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (ordinal - min(ordinal) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM dealt
 """

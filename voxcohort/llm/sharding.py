@@ -4,11 +4,12 @@ Rows are ordered by (60 bits of the text's SHA-256, doc_id, a row number), so th
 1. A size-weighted sample of keys is drawn by hash; its quantiles are the boundaries of fine ranges.
 2. Ranges that still hold over `overfull` times the mean are subdivided at exact quantiles of their own rows.
 3. Sums over ranges, then within ranges, give each row its offset in the whole order. A shard is an equal share of all
-   bytes; a group of equal texts that a cut would part goes whole to the earlier shard if it has at most `whole_group`
-   of a shard's bytes, else it is parted.
+   bytes, and has the rows whose middle lies in it; a group of equal texts that a cut would part goes whole where its own
+   middle lies if it has at most `whole_group` of a shard's bytes, else it is parted. So shards differ from their share
+   by half a row at each end, or half of such a group.
 
-The sample (`ranges` x `per_range` keys expected) and the table of ranges are bounded by parameters; they alone reach
-the driver. Size is the UTF-8 bytes of the text plus 1.
+There is a range for `range_rows` rows, 1024 at least and MOST_RANGES at most. The sample (`per_range` keys a range
+expected) and the table of ranges alone reach the driver. Size is the UTF-8 bytes of the text plus 1.
 
 Defined cases: a null text has size 1 and stands with empty texts; a null doc_id comes first within its group;
 repeated rows are rows of their own; an empty table gives an empty table; other columns are not returned.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import durable, text_or_empty
 
 LAW = "bytes"
+LEAST_RANGES, MOST_RANGES = 1024, 1 << 15
 
 
 def uniform(*cols: Column) -> Column:
@@ -44,7 +46,7 @@ def _at_most(key: Column, bounds: list[tuple]) -> Column:
     return F.when(first == 0, 0).otherwise((first - 1) * step + F.size(F.filter(F.element_at(literal([named(g) for g in groups], f"array<{kind}>"), F.greatest(first, F.lit(1))), lambda b: b <= key)))
 
 
-def shard(docs: DataFrame, shards: int = 16, ranges: int = 1024, per_range: int = 8, overfull: int = 4, whole_group: float = 0.01) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, ranges: int | None = None, range_rows: int = 1 << 20, per_range: int = 8, overfull: int = 4, whole_group: float = 0.01) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row of `docs`."""
     text = F.encode(text_or_empty(), "utf-8")
     rows = docs.select(
@@ -56,6 +58,7 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = 1024, per_range: int
     )
     rows = durable(rows.withColumn("d", F.coalesce("doc_id", F.lit(-(1 << 63)))), "shard-keys")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, n // range_rows))
     key = F.struct("k", "d", "r")
     sampled = rows.where(uniform(F.col("k"), F.col("d"), F.col("r")) < F.col("size") * F.lit(ranges * per_range / max(total, 1)))
     sample = sorted((x.k, x.d, x.r) for x in sampled.select("k", "d", "r").collect())  # ranges x per_range rows expected
@@ -76,11 +79,14 @@ def shard(docs: DataFrame, shards: int = 16, ranges: int = 1024, per_range: int
         (F.col("base_rows") + F.row_number().over(inner) - 1).alias("ordinal"),
     )
     placed = durable(placed, "shard-offsets")
-    slice_of = lambda at: F.least(F.floor(at * shards / F.lit(max(total, 1))), F.lit(shards - 1)).cast("int")
+    # Twice the middle, so that it is a whole number.
+    slice_of = lambda twice: F.least(F.floor(twice * shards / F.lit(2 * max(total, 1))), F.lit(shards - 1)).cast("int")
+    row = 2 * F.col("start") + F.col("size")
     # At most shards - 1 groups hold a cut.
-    parted = placed.groupBy("k").agg(F.min("start").alias("from"), F.max("start").alias("last"), F.sum("size").alias("group_bytes"))
-    parted = parted.where((slice_of(F.col("from")) != slice_of(F.col("last"))) & (F.col("group_bytes") * shards <= F.lit(whole_group * total))).select("k", "from")
-    dealt = placed.join(F.broadcast(parted), "k", "left").withColumn("shard", slice_of(F.coalesce("from", "start")))
+    parted = placed.groupBy("k").agg(F.min(row).alias("first"), F.max(row).alias("last"), F.min("start").alias("from"), F.sum("size").alias("group_bytes"))
+    parted = parted.where((slice_of(F.col("first")) != slice_of(F.col("last"))) & (F.col("group_bytes") * shards <= F.lit(whole_group * total)))
+    parted = parted.select("k", (2 * F.col("from") + F.col("group_bytes")).alias("group"))
+    dealt = placed.join(F.broadcast(parted), "k", "left").withColumn("shard", slice_of(F.coalesce(F.col("group"), row)))
     first = dealt.groupBy("shard").agg(F.min("ordinal").alias("first"))  # a row for each shard
     return dealt.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("ordinal") - F.col("first")).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
