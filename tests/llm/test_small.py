@@ -71,6 +71,17 @@ def test_raking_meets_the_targets(spark):
     assert {r.lang: r.share for r in given} == {"x": 1.0, "y": 0.0, "z": 0.0}
 
 
+def test_one_row_computes_as_windows(spark):
+    rng = random.Random(5)
+    for n in (1, 40):
+        rows = [(rng.choice(["a", "b", "", None]), rng.choice(["x", None]), rng.choice("pqr"), rng.choice([0, 1, 7, 100, 5000])) for _ in range(n)]
+        cells = spark.createDataFrame([(*k, v) for k, v in {r[:3]: r[3] for r in rows}.items()], "source string, lang string, topic string, tokens long")
+        goals = {m: mixing.targets(cells, m, 0.6, {"x": 0.5} if m == "lang" else None) for m in mixing.MARGINS}
+        budget = 0.7 * (cells.agg(F.sum("tokens")).first()[0] or 0)
+        a, b = (sorted((tuple(r) for r in out.select(*mixing.MARGINS, F.round("weight", 9), F.round("probability", 9)).collect()), key=repr) for out in (mixing.in_one_row(cells, goals, budget, 3), mixing.calibrate(mixing.rake(cells, goals, 3), budget)))
+        assert a == b
+
+
 def test_pack(docs, none):
     t = tokens.Encoder(BYTE, "none")
     rows = packing.pack(docs, BYTE, shard_bytes=4000).collect()
@@ -116,7 +127,12 @@ def test_token_files(spark, docs, none, tmp_path):
         assert r.start == at and len(r.ids) == 4 * r.n_tokens
         at += r.n_tokens
     assert Counter((r.doc_id, r.ids) for r in rows) == Counter((r.doc_id, t.whole([r.text or ""])[0] + (2).to_bytes(4, "little")) for r in docs.select("doc_id", "text").collect())
+    whole = np.frombuffer(b"".join(r.ids for r in rows), "<u4")
+    wanted = [*range(0, len(whole), 97), len(whole) - 1, len(whole), -1, None, 5, 5]
+    found = token_files.tokens_at(spark, str(tmp_path / "t"), spark.createDataFrame([(w,) for w in wanted], "position long")).collect()
+    assert Counter((r.position, r.token) for r in found) == Counter((w, int(whole[w])) for w in wanted if w is not None and 0 <= w < len(whole))
     token_files.write_tokens(none, str(tmp_path / "n"), WORD)
+    assert token_files.tokens_at(spark, str(tmp_path / "n"), spark.createDataFrame([(0,)], "position long")).count() == 0
     assert token_files.read_tokens(spark, str(tmp_path / "n")).count() == 0
 
 
@@ -125,7 +141,12 @@ def test_codes_give_any_token():
     for values in ([], [0], [255, 256, 65535, 65536, 2**32 - 1], rng.integers(0, 70_000, 3000), rng.integers(0, 255, 1500)):
         v = np.array(values, dtype=np.uint32)
         c = token_files.Codes(token_files.encode_codes(v))
-        assert (c.all() == v).all() and [c.get(i) for i in range(len(v))] == v.tolist()
+        assert (c.run(0, len(v)) == v).all() and [c.get(i) for i in range(len(v))] == v.tolist()
+        for _ in range(200):
+            a, b = sorted(rng.integers(0, len(v) + 1, 2).tolist())
+            assert (c.run(a, b) == v[a:b]).all()
+        with pytest.raises(IndexError):
+            c.run(0, len(v) + 1)
         with pytest.raises(IndexError):
             c.get(len(v))
 
