@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.llm.common import durable, table
+from voxcohort.llm.common import durable, release, table, written
 from voxcohort.llm.language import UNDEFINED, fit, held_out, identify
 from voxcohort.llm.line_dedup import line_dedup
 from voxcohort.llm.mixing import mix
@@ -62,9 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = durable(docs, f"stage-{name}")
+            release(spark, mark, docs)  # of the stages so far only their result is read again
     return docs
