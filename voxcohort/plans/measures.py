@@ -77,53 +77,85 @@ def kendall_order_score(spark: SparkSession, d: str) -> DataFrame:
     return levels.select("case_id", F.aggregate(F.transform("p", below), F.lit(0).cast("bigint"), lambda s, v: s + v).alias("order_score"))
 
 
-def profiles(spark: SparkSession, d: str) -> DataFrame:
-    """(case_id, event_type, profile): events of a type by slice, as doubles, empty slices included."""
-    counts = [F.count_if((F.col("z") == z) & (F.col("value") > 30)).cast("double") for z in range(10)]
-    return voxels(spark, d).groupBy("case_id", "event_type").agg(F.array(*counts).alias("profile"))
+def profiles(spark: SparkSession, d: str, least: int = 30) -> DataFrame:
+    """(case_id, phase, profile): events of a type by slice, as doubles, from the first slice that has any to the last."""
+    counts = [F.count_if((F.col("z") == z) & (F.col("value") > least)).cast("double") for z in range(10)]
+    return voxels(spark, d).groupBy("case_id", F.col("event_type").alias("phase")).agg(S.trimmed(F.array(*counts)).alias("profile"))
 
 
-_PROFILES = f"{VOX}, pr AS (SELECT case_id, event_type, [" + ", ".join(f"count(*) FILTER (WHERE z = {z} AND value > 30)::DOUBLE" for z in range(10)) + "] AS p FROM vox GROUP BY 1, 2)"
-_MARGIN = "(p[3] - p[1]) / greatest(1.0, list_max(p)) - (p[8] - p[10]) / greatest(1.0, list_max(p))"
+def _profiles(least: int = 30) -> str:
+    counts = ", ".join(f"count(*) FILTER (WHERE z = {z} AND value > {least})::DOUBLE" for z in range(10))
+    return f"""{VOX}, pw AS (SELECT case_id, event_type AS phase, [{counts}] AS q FROM vox GROUP BY 1, 2),
+pr AS (SELECT case_id, phase, CASE WHEN list_max(q) > 0 THEN q[list_position(list_transform(q, lambda v: v > 0), true) : 11 - list_position(list_transform(list_reverse(q), lambda v: v > 0), true)] ELSE [] END AS p FROM pw)"""
 
 
-@query(f"WITH {_PROFILES} SELECT case_id, event_type, round({_MARGIN}, 6) AS margin FROM pr")
+_W = "greatest(2, len(p) // 5)"
+_MARGIN = f"CASE WHEN len(p) >= 8 THEN (p[1 + {_W}] - p[1]) / greatest(1.0, list_max(p)) - (p[len(p) - {_W}] - p[len(p)]) / greatest(1.0, list_max(p)) ELSE 0.0::DOUBLE END"
+
+
+@query(f"WITH {_profiles()} SELECT case_id, phase, round({_MARGIN}, 6) AS margin FROM pr")
 def profile_asymmetry(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(profiles(spark, d).select("case_id", "event_type", S.asymmetry(F.col("profile")).alias("margin")))
+    return rounded(profiles(spark, d).select("case_id", "phase", S.asymmetry(F.col("profile")).alias("margin")))
 
 
-_BETWEEN = "(CASE WHEN i % 2 = 0 THEN p[i // 2 + 1] ELSE (p[i // 2 + 1] + p[i // 2 + 2]) / 2 END)"
+def _sampled(name: str) -> str:
+    x, n = "(i * (len({0}) - 1) / 99.0::DOUBLE)".format(name), f"len({name})"
+    k = f"least(floor({x})::INT, greatest({n} - 2, 0))"
+    return f"{name}[{k} + 1] + (coalesce({name}[{k} + 2], {name}[{k} + 1]) - {name}[{k} + 1]) * ({x} - {k})"
 
 
-@query(f"WITH {_PROFILES} SELECT case_id, event_type, i::INT AS i, {_BETWEEN} AS n FROM pr, range(19) r(i)")
+@query(f"WITH {_profiles()} SELECT case_id, phase, i::INT AS i, round({_sampled('p')}, 6) AS n FROM pr, range(100) r(i) WHERE len(p) > 0")
 def profile_interp(spark: SparkSession, d: str) -> DataFrame:
-    return profiles(spark, d).select("case_id", "event_type", F.posexplode(S.interpolated(F.col("profile"), 19)).alias("i", "n"))
+    found = profiles(spark, d).where(F.size("profile") > 0)
+    return rounded(found.select("case_id", "phase", F.posexplode(S.interpolated(F.col("profile"))).alias("i", "n")))
 
 
-def paired(spark: SparkSession, d: str) -> DataFrame:
-    """Profiles of all other types against the case's reference type, 'view'."""
-    p = profiles(spark, d)
-    return p.where("event_type <> 'view'").join(p.where("event_type = 'view'").select("case_id", F.col("profile").alias("reference")), "case_id")
+#: Of the preferred phase 'view' where it is usable, else of the longest, ties to the first name.
+_COMPARED = """us AS (SELECT * FROM pr WHERE len(p) >= 8),
+rf AS (SELECT case_id, phase AS reference, p AS q FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY (phase = 'view')::INT DESC, len(p) DESC, phase) AS r FROM us) WHERE r = 1),
+sm AS (SELECT case_id, phase, i, {0} AS x, {1} AS y FROM us JOIN rf USING (case_id), range(100) g(i) WHERE phase <> reference),
+co AS (SELECT a.case_id, a.phase, coalesce(corr(a.x, a.y), 0) AS direct, coalesce(corr(b.x, a.y), 0) AS reversed FROM sm a JOIN sm b ON a.case_id = b.case_id AND a.phase = b.phase AND b.i = 99 - a.i GROUP BY 1, 2)""".format(_sampled("p"), _sampled("q"))
 
 
-_PAIRED = f"{_PROFILES}, pa AS (SELECT a.case_id, a.event_type, a.p, b.p AS q FROM pr a JOIN pr b ON a.case_id = b.case_id AND b.event_type = 'view' AND a.event_type <> 'view'), co AS (SELECT case_id, event_type, coalesce(corr(x, y), 0) AS direct, coalesce(corr(w, y), 0) AS reversed FROM (SELECT case_id, event_type, unnest(p) AS x, unnest(list_reverse(p)) AS w, unnest(q) AS y FROM pa) GROUP BY 1, 2)"
+@query(f"WITH {_profiles()}, {_COMPARED} SELECT case_id, phase, round(direct, 6) + 0.0 AS direct, round(reversed, 6) + 0.0 AS reversed FROM co")
+def profile_correlation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.compared(profiles(spark, d), "case_id", "view").where("direct is not null").select("case_id", "phase", "direct", "reversed"))
 
 
-@query(f"WITH {_PAIRED} SELECT case_id, event_type, round(direct, 6) + 0.0 AS direct, round(reversed, 6) + 0.0 AS reversed FROM co")
-def profile_correlation(spark: SparkSession, d: str) -> DataFrame:
-    a = F.col("profile")
-    return rounded(paired(spark, d).select("case_id", "event_type", S.correlation(a, F.col("reference")).alias("direct"), S.correlation(F.reverse(a), F.col("reference")).alias("reversed")))
+_VOTES = f"""vo AS (SELECT us.case_id, us.phase, coalesce(reversed > direct + 0.05, false) AS back, {_MARGIN} AS margin FROM us LEFT JOIN co USING (case_id, phase)),
+ev AS (SELECT case_id, sum(CASE WHEN back THEN -margin ELSE margin END ORDER BY phase) AS e FROM vo GROUP BY 1)"""
 
 
-@query(f"WITH {_PAIRED}, ev AS (SELECT pr.case_id, sum(CASE WHEN coalesce(reversed > direct + 0.05, false) THEN -1 ELSE 1 END * ({_MARGIN})) AS e FROM pr LEFT JOIN co USING (case_id, event_type) GROUP BY 1) SELECT case_id, round(e, 6) AS evidence, round(e, 6) >= 0 AS flip, CASE WHEN abs(round(e, 6)) >= 0.30 THEN 'liver_profile' ELSE 'liver_profile_weak' END AS source FROM ev")
+@query(f"WITH {_profiles()}, {_COMPARED}, {_VOTES} SELECT case_id, round(e, 6) + 0.0 AS evidence, e >= 0 AS flip, CASE WHEN abs(e) >= 0.30 THEN 'liver_profile' ELSE 'liver_profile_weak' END AS source FROM ev")
 def evidence_vote(spark: SparkSession, d: str) -> DataFrame:
     """Signed margins of all profiles of a case, those that run backwards counted the other way round."""
-    a = F.col("profile")
-    back = paired(spark, d).select("case_id", "event_type", (S.correlation(F.reverse(a), F.col("reference")) > S.correlation(a, F.col("reference")) + S.RELATIVE_MARGIN).alias("back"))
-    rows = profiles(spark, d).join(back, ["case_id", "event_type"], "left")
-    margin = S.asymmetry(a)
-    votes = rows.groupBy("case_id").agg(F.round(F.sum(F.when(F.coalesce("back", F.lit(False)), -margin).otherwise(margin)), 6).alias("evidence"))
-    return votes.select("case_id", "evidence", (F.col("evidence") >= 0).alias("flip"), F.when(F.abs("evidence") >= S.STRONG_EVIDENCE, "liver_profile").otherwise("liver_profile_weak").alias("source"))
+    votes = S.orientation(profiles(spark, d), "case_id", "view").where(F.col("source") != S.DEFAULT)
+    return rounded(votes.groupBy("case_id").agg(F.any_value("evidence").alias("evidence"), F.any_value(F.col("evidence") >= 0).alias("flip"), F.any_value("source").alias("source")))
+
+
+@query(f"""WITH {_profiles(190)}, {_COMPARED}, {_VOTES} SELECT pr.case_id, pr.phase, CASE WHEN e IS NULL THEN true ELSE (e >= 0) <> coalesce(back, false) END AS flip,
+CASE WHEN e IS NULL THEN 'dataset_default_no_liver_profile' WHEN abs(e) >= 0.30 THEN 'liver_profile' ELSE 'liver_profile_weak' END AS source, round(coalesce(margin, 0), 6) + 0.0 AS margin, coalesce(back, false) AS relative_flip,
+round(direct, 6) + 0.0 AS direct, round(reversed, 6) + 0.0 AS reversed, round(coalesce(e, 0), 6) + 0.0 AS evidence FROM pr LEFT JOIN vo USING (case_id, phase) LEFT JOIN co USING (case_id, phase) LEFT JOIN ev USING (case_id)""")
+def orientation_decision(spark: SparkSession, d: str) -> DataFrame:
+    """Slice order of every phase, over sparse profiles, many of which are too short to vote."""
+    return rounded(S.orientation(profiles(spark, d, 190), "case_id", "view"))
+
+
+#: Slices of a case with true voxels stand for vertebrae, from L1 up; their centres are moved by what they hold.
+_VERTEBRAE = f"""{VOX}, ve AS (SELECT case_id, ['L1', 'T12', 'T11', 'T10', 'T9', 'T8', 'T7', 'T6', 'T5'][z] AS level, z * 12 + (count(*) % 5) / 2.0::DOUBLE AS z, 1.5 + (case_id % 3) / 2.0::DOUBLE AS guess, z = 9 OR count(*) % 7 = 0 AS cut FROM vox WHERE gt AND z > 0 GROUP BY case_id, vox.z),
+lv AS (SELECT *, list_position(['T5', 'T6', 'T7', 'T8', 'T9', 'T10', 'T11', 'T12', 'L1', 'L2', 'L3', 'L4', 'L5'], level) AS place FROM ve WHERE NOT cut),
+vp AS (SELECT case_id, guess, level AS lower, lead(level) OVER w AS upper, place AS below, lead(place) OVER w AS above, lead(z) OVER w - z AS slices FROM lv WINDOW w AS (PARTITION BY case_id ORDER BY z, level)),
+kn(upper, lower, mm) AS (VALUES ('T7', 'T8', 23.5::DOUBLE), ('T8', 'T9', 24.5), ('T9', 'T10', 25.5), ('T10', 'T11', 27.0), ('T11', 'T12', 29.0), ('T12', 'L1', 31.5), ('L1', 'L2', 33.5), ('L2', 'L3', 35.0), ('L3', 'L4', 35.5), ('L4', 'L5', 35.0)),
+vm AS (SELECT case_id, slices, mm, CASE WHEN mm IS NULL AND above < below AND slices * guess BETWEEN 15.0 AND 48.0 THEN 30.0::DOUBLE END AS generic FROM vp LEFT JOIN kn USING (upper, lower) WHERE slices > 0)"""
+
+
+@query(f"""WITH {_VERTEBRAE} SELECT case_id, round(CASE WHEN count(mm) > 0 THEN sum(mm) / sum(slices) FILTER (WHERE mm IS NOT NULL) ELSE sum(generic) / sum(slices) FILTER (WHERE generic IS NOT NULL) END, 6) AS spacing,
+CASE WHEN count(mm) > 0 THEN count(mm) ELSE count(generic) END AS pairs, count(mm) > 0 AS specific FROM vm GROUP BY 1 HAVING count(mm) + count(generic) > 0""")
+def vertebra_spacing(spark: SparkSession, d: str) -> DataFrame:
+    slices = voxels(spark, d).where("gt and z > 0").groupBy("case_id", F.col("z").alias("slice")).agg(F.count("*").alias("n"))
+    level = F.element_at(F.reverse(F.array(*map(F.lit, S.LEVELS[:9]))), F.col("slice"))
+    rows = slices.select("case_id", level.alias("level"), (F.col("slice") * 12 + F.col("n") % 5 / 2.0).alias("z"), (1.5 + F.col("case_id") % 3 / 2.0).alias("guess"), ((F.col("slice") == 9) | (F.col("n") % 7 == 0)).alias("touches_edge"))
+    return rounded(S.vertebra_spacing(rows, ["case_id"]))
 
 
 @query("SELECT event_id, round(abs(ln((value + 1) / (user_id + 1))), 6) AS log_ratio, abs(ln((value + 1) / (user_id + 1))) > ln(1.15::DOUBLE) AS outlier FROM events")
@@ -145,23 +177,23 @@ def consensus_spread(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PHASES = f"""{VOX}, ph AS (SELECT case_id, event_type AS phase, count(*) FILTER (WHERE value > 60) AS pairs, min(v) % 3 <> 0 AS specific, count(DISTINCT z) FILTER (WHERE value > 230) AS slices,
-  CASE WHEN count(*) FILTER (WHERE value > 60) > 0 THEN max(floor(value))::DOUBLE / 50 END AS own FROM vox GROUP BY 1, 2),
+  CASE WHEN count(*) FILTER (WHERE value > 60) > 0 THEN max(floor(value))::DOUBLE / 50 END AS own, 5 * count(DISTINCT z) + case_id % 7 AS size_z FROM vox GROUP BY 1, 2),
 xt AS (SELECT *, CASE WHEN own IS NOT NULL AND slices > 0 THEN own * slices END AS extent, pairs * CASE WHEN specific THEN 2.0 ELSE 1.0 END AS weight FROM ph),
 wr AS (SELECT case_id, extent, sum(weight) OVER (PARTITION BY case_id ORDER BY extent, phase) AS run, sum(weight) OVER (PARTITION BY case_id) AS total FROM xt WHERE extent IS NOT NULL),
 wm AS (SELECT case_id, min(extent) AS m FROM wr WHERE run >= total / 2 GROUP BY 1),
 ag AS (SELECT xt.*, m, CASE WHEN extent IS NOT NULL AND NOT (specific AND pairs >= 2 AND abs(ln(extent / m)) > ln(1.15::DOUBLE)) THEN extent END AS agreed FROM xt LEFT JOIN wm USING (case_id)),
 sp AS (SELECT *, count(agreed) OVER w AS consistent, CASE WHEN m IS NOT NULL THEN CASE WHEN count(agreed) OVER w > 1 THEN (max(agreed) OVER w - min(agreed) OVER w) / m ELSE 0.0 END END AS spread FROM ag WINDOW w AS (PARTITION BY case_id)),
-ba AS (SELECT *, CASE WHEN slices > 0 AND coalesce(specific AND pairs >= 2 AND abs(ln(own / (coalesce(m, 150.0) / slices))) > ln(1.15::DOUBLE), false) THEN 'own_extent_inconsistent'
-  WHEN slices > 0 THEN CASE WHEN m IS NOT NULL THEN 'shared_extent' ELSE 'prior_extent' END WHEN own IS NOT NULL THEN 'own_only' ELSE 'prior_count' END AS basis FROM sp)"""
+ba AS (SELECT *, CASE WHEN slices > 0 AND coalesce(specific AND pairs >= 2 AND abs(ln(own / (coalesce(m, 170.0) / slices))) > ln(1.15::DOUBLE), false) THEN 'vertebrae_this_phase_liver_extent_inconsistent'
+  WHEN slices > 0 THEN CASE WHEN m IS NOT NULL THEN 'vertebrae_shared_liver_extent' ELSE 'liver_prior_shared_liver_extent' END WHEN own IS NOT NULL THEN 'vertebrae_this_phase_only' ELSE 'volume_slice_count_prior' END AS basis FROM sp)"""
 
 
-@query(f"""WITH {_PHASES} SELECT case_id, phase, round(CASE WHEN basis LIKE 'own%' THEN own WHEN slices > 0 THEN coalesce(m, 150.0) / slices ELSE 150.0 END, 6) AS spacing, basis,
-CASE WHEN basis LIKE 'own%' THEN CASE WHEN specific AND pairs >= 2 THEN 'medium' ELSE 'low' END WHEN m IS NOT NULL AND consistent >= 2 AND spread <= 0.10 THEN 'high' WHEN m IS NOT NULL AND spread <= 0.20 THEN 'medium' ELSE 'low' END AS confidence, round(spread, 6) AS spread FROM ba""")
+@query(f"""WITH {_PHASES} SELECT case_id, phase, round(CASE WHEN basis LIKE 'vertebrae_this%' THEN own WHEN slices > 0 THEN coalesce(m, 170.0) / slices ELSE 170.0 / greatest(1.0::DOUBLE, round_even(size_z * 0.96::DOUBLE, 0)) END, 6) AS spacing, basis,
+CASE WHEN basis LIKE 'vertebrae_this%' THEN CASE WHEN specific AND pairs >= 2 THEN 'medium' ELSE 'low' END WHEN m IS NOT NULL AND consistent >= 2 AND spread <= 0.10 THEN 'high' WHEN m IS NOT NULL AND spread <= 0.20 THEN 'medium' ELSE 'low' END AS confidence, round(spread, 6) AS spread FROM ba""")
 def patient_fusion(spark: SparkSession, d: str) -> DataFrame:
     high = F.col("value") > 60
     phases = voxels(spark, d).groupBy("case_id", F.col("event_type").alias("phase")).agg(
         F.count_if(high).alias("pairs"), (F.min("voxel_id") % 3 != 0).alias("specific"), F.count_distinct(F.when(F.col("value") > 230, F.col("z"))).alias("slices"),
-        F.when(F.count_if(high) > 0, F.max(F.floor("value")).cast("double") / 50).alias("own"),
+        F.when(F.count_if(high) > 0, F.max(F.floor("value")).cast("double") / 50).alias("own"), (5 * F.count_distinct("z") + F.col("case_id") % 7).alias("size_z"),
     )
     return rounded(S.fuse(phases, "case_id"))
 
