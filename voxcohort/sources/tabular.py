@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,5 +40,31 @@ def log(spark: SparkSession, path: str, schema: str, keys: list[str], version: s
     return last.select(*keys, *[f"r.{c}" for c in rest])
 
 
+def geometry(spark: SparkSession, path: str) -> DataFrame:
+    """The geometry table, keyed by (patient_id, phase): spacings as an array in x, y, z order, the flip as a flag (absent
+    means no), and the fallback mask's path, which is below the table's own folder unless it is absolute. A second row
+    for a key raises."""
+    rows = table(spark, path)
+    have = lambda c, kind: F.col(c).try_cast(kind) if c in rows.columns else F.lit(None).cast(kind)
+    file = F.nullif(F.trim(have("totalsegmentator_liver_native_file", "string")), F.lit(""))
+    absolute = file.startswith("/") | file.rlike("^[A-Za-z][A-Za-z0-9+.-]*:")
+    out = rows.select(
+        "patient_id", "phase", F.array(*[have(f"spacing_{a}_mm", "double") for a in "xyz"]).alias("spacing_mm"), (F.coalesce(have("k_axis_flip", "int"), F.lit(0)) != 0).alias("k_axis_flip"),
+        *[F.coalesce(have(c, "string"), F.lit("")).alias(c) for c in ("orientation_source", "orientation_evidence")], *[have(c, "string").alias(c) for c in ("spacing_z_source", "spacing_z_confidence", "spacing_z_snap", "geometry_version")],
+        *[have(c, "double").alias(c) for c in ("spacing_z_continuous_mm", "liver_z_extent_mm")], F.coalesce(have("vertebra_pairs", "int"), F.lit(0)).alias("vertebra_pairs"),
+        F.when(absolute, file).otherwise(F.concat(F.lit(f"{path.rpartition('/')[0]}/"), file)).alias("liver_fallback_file"),
+    )
+    if twice := out.groupBy("patient_id", "phase").count().where("count > 1").limit(5).collect():
+        raise ValueError(f"more than one row for {[tuple(r)[:2] for r in twice]}")
+    return out
+
+
+def portable(file: Column, folder: str) -> Column:
+    """A path relative to `folder` if it lies below it, else by its name in the folder for fallback masks; '' for none."""
+    below = F.concat(F.lit(folder.rstrip("/")), F.lit("/"))
+    name = F.concat(F.lit("plc_geometry/liver_fallback/"), F.element_at(F.split(file, "/"), -1))
+    return F.when(F.coalesce(file, F.lit("")) == "", "").when(file.startswith(below), F.replace(file, below, F.lit(""))).otherwise(name)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
