@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 AXES = ("z", "y", "x")
@@ -76,7 +76,7 @@ def label_components_joined(voxels: DataFrame, keys: tuple[str, ...] = ("case_id
     links = links.union(links.select("v", "u")).union(rows.select("id", "id"))
     names = rows.select("id", F.col("id").alias("component"))
     folder = voxels.sparkSession.conf.get("spark.checkpoint.dir", None)
-    before = None
+    before, held = None, None
     while True:
         least = links.join(names, links.v == names.id).groupBy("u").agg(F.min("component").alias("component"))
         jump = least.select(F.col("u").alias("id"), F.col("component").alias("mid"))
@@ -88,12 +88,23 @@ def label_components_joined(voxels: DataFrame, keys: tuple[str, ...] = ("case_id
         else:
             names = far.persist()
         mark = names.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if held is not None:
+            held.unpersist()  # nothing reads the round before any more
+        held = None if folder else names
         if mark == before:
             break
         before = mark
     return rows.join(names, "id").select(*keys, *AXES, F.col("id").alias(voxel_id), "component")
 
 
+def numbered(components: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """`components` with `label`: 1, 2, ... within each volume, in the order of the components' names. After a filter the
+    numbers are without gaps again. Only names are ranked, not voxels."""
+    names = components.select(*keys, "component").distinct()
+    places = names.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("component")))
+    return components.join(places, [*keys, "component"])
+
+
 def drop_small(components: DataFrame, least: int, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """Voxels of components with at least `least` voxels; names stay, as whole components go."""
     if least <= 1:

@@ -103,6 +103,14 @@ def case_totals(cases: DataFrame, truth: DataFrame, found: DataFrame) -> DataFra
     return out.withColumn("case_dice", ratio(2 * F.col("tp_voxels"), F.col("gt_voxels") + F.col("pred_voxels")))
 
 
+def case_totals_marked(cases: DataFrame, voxels: DataFrame, truth: str = "gt", found: str = "pred") -> DataFrame:
+    """As `case_totals`, where both masks are flags of the same voxels: one scan and one aggregate, without a join."""
+    g, p = F.col(truth), F.col(found)
+    counts = voxels.where(g | p).groupBy("case_id").agg(F.count_if(g).alias("gt_voxels"), F.count_if(p).alias("pred_voxels"), F.count_if(g & p).alias("tp_voxels"))
+    out = cases.join(counts, "case_id", "left").fillna(0, ["gt_voxels", "pred_voxels", "tp_voxels"])
+    return out.withColumn("case_dice", ratio(2 * F.col("tp_voxels"), F.col("gt_voxels") + F.col("pred_voxels")))
+
+
 def scoped(df: DataFrame, by: list[str], *aggregates) -> DataFrame:
     """The aggregates over everything ("overall") and for each dataset, in one pass."""
     out = df.groupingSets([by, ["dataset", *by]], "dataset", *by).agg(*aggregates, F.grouping("dataset").alias("__all"))

@@ -30,6 +30,32 @@ def required(df: DataFrame, lookup: DataFrame, on: list[str], strict: bool = Tru
     return df.join(lookup, on)
 
 
+def merged(manifest: DataFrame, updates: DataFrame, on: list[str]) -> DataFrame:
+    """The manifest with the columns of `updates`, which replace its own of the same name. A row without an update, or with
+    more than one, raises."""
+    if twice := updates.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").limit(5).collect():
+        raise ValueError(f"more than one update for {twice}")
+    return required(manifest.drop(*[c for c in updates.columns if c not in on]), updates, on)
+
+
+class StaleRecords(ValueError):
+    """Records of another version that this run would not replace."""
+
+
+def stale(records: DataFrame, version: str, replaced: list[str], complete: Column | None = None, version_column: str = "pipeline_version", group: str = "dataset") -> DataFrame:
+    """Complete records of another version (or none), but for groups that are replaced as a whole."""
+    other = ~F.col(version_column).eqNullSafe(F.lit(version)) & ~F.coalesce(F.col(group).isin(*replaced), F.lit(False))
+    return records.where(other if complete is None else complete & other)
+
+
+def refuse_stale(records: DataFrame, *args, shown: int = 5, **kw) -> DataFrame:
+    """The records, if none is stale."""
+    old = stale(records, *args, **kw)
+    if found := old.limit(shown).collect():
+        raise StaleRecords(f"{old.count()} records of another version, such as {found}")
+    return records
+
+
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both; changes win over the base."""
     both = base.withColumn("__rank", F.lit(1)).unionByName(changes.withColumn("__rank", F.lit(0)), allowMissingColumns=True)

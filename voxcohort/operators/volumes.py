@@ -78,3 +78,50 @@ def dilate(mask: DataFrame, radius: int, size: dict[str, int]) -> DataFrame:
 
 def slice_profile(mask: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     return mask.groupBy(*keys, "z").agg(F.count("*").alias("n"))
+
+
+def apply_geometry(volume: DataFrame, headers: DataFrame, geometry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(volume, headers) with estimated spacings in place of those of the headers, and slices reversed on the same grid
+    where the geometry says so. Cases without a row in `geometry` (case_id, spacing_mm, k_axis_flip) stay as they are.
+    Headers have size and spacing_mm in x, y, z order."""
+    known = headers.join(geometry.select("case_id", F.col("spacing_mm").alias("estimated"), "k_axis_flip"), "case_id", "left")
+    overwritten = known.withColumn("spacing_mm", F.coalesce("estimated", "spacing_mm")).drop("estimated", "k_axis_flip")
+    turned = known.where("k_axis_flip").select("case_id", F.get("size", F.lit(2)).alias("nz"))
+    rows = volume.join(turned, "case_id", "left").withColumn("z", F.coalesce(F.col("nz") - 1 - F.col("z"), F.col("z"))).drop("nz")
+    return rows, overwritten
+
+
+def _place(index: Column, own: str, axis: int, other: str) -> Column:
+    """Index on the grid of struct column `other` that is nearest to an index on that of `own`, along one axis."""
+    mm = F.get(f"{own}.origin_mm", F.lit(axis)) + index * F.get(f"{own}.spacing_mm", F.lit(axis))
+    return F.floor((mm - F.get(f"{other}.origin_mm", F.lit(axis))) / F.get(f"{other}.spacing_mm", F.lit(axis)) + 0.5).cast("int")
+
+
+def align(mask: DataFrame, own: DataFrame, reference: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """The mask's foreground on the grid of `reference`, which has one row for each case as `own` (size, spacing_mm,
+    origin_mm in x, y, z order). On the same grid voxels stay; else each point of the reference takes the voxel nearest
+    to it, and points outside of the mask's grid are empty. Only points near foreground are made: a voxel says which
+    range of points it may be nearest to.
+    """
+    a, b = (h.select("case_id", F.struct("size", "spacing_mm", "origin_mm").alias(n)) for h, n in ((own, "g"), (reference, "r")))
+    near = lambda k: F.forall(F.zip_with(f"g.{k}", f"r.{k}", lambda p, q: F.abs(p - q) <= tolerance), lambda ok: ok)
+    grids = a.join(b, "case_id").withColumn("same", (F.col("g.size") == F.col("r.size")) & near("spacing_mm") & near("origin_mm"))
+    rows = mask.select("case_id", *AXES).join(grids, "case_id")
+    moved = rows.where("not same")
+    for axis, name in zip((2, 1, 0), AXES, strict=True):
+        half = lambda s, axis=axis, name=name: _place(F.col(name) + F.lit(s), "g", axis, "r")
+        last = F.get("r.size", F.lit(axis)) - 1
+        span = F.sequence(F.greatest(F.lit(0), half(-0.5) - 1), F.least(last, half(0.5) + 1))
+        some = (half(0.5) + 1 >= 0) & (half(-0.5) - 1 <= last)
+        moved = moved.withColumn(f"p{name}", F.explode(F.when(some, span).otherwise(F.array().cast("array<int>")))).where(_place(F.col(f"p{name}"), "r", axis, "g") == F.col(name))
+    return rows.where("same").select("case_id", *AXES).unionByName(moved.select("case_id", *[F.col(f"p{n}").alias(n) for n in AXES]))
+
+
+def fallback_mask(segmentation: DataFrame, own: DataFrame, stored: DataFrame, label: int, flipped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mask, profile): a segmentation's label on the grid that a volume is stored with, slices turned back where
+    `flipped` (case_id, flip) says that it was segmented in reversed order; and slices, first and last of each case."""
+    mask = align(segmentation.where(F.col("value") == label), own, stored)
+    turned = stored.join(flipped.where("flip"), "case_id").select("case_id", F.get("size", F.lit(2)).alias("nz"))
+    back = mask.join(turned, "case_id", "left").withColumn("z", F.coalesce(F.col("nz") - 1 - F.col("z"), F.col("z"))).drop("nz")
+    profile = back.groupBy("case_id").agg(F.count_distinct("z").alias("slices"), F.min("z").alias("first"), F.max("z").alias("last"), (F.max("z") - F.min("z") + 1).alias("z_extent"))
+    return back, profile
