@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import estimators as S
 from ..operators import volumes as V
 from .registry import query, rounded
 from .voxels import VOX, cases, voxels
@@ -22,6 +23,30 @@ def axis_flip(spark: SparkSession, d: str) -> DataFrame:
     return V.flip(intensities(spark, d), 10)
 
 
+def grids(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of the volumes, in x, y, z order."""
+    triple = lambda *v: F.array(*[F.lit(x) for x in v])
+    return cases(spark, d).select("case_id", triple(10, 10, 10).alias("size"), triple(1.0, 1.0, 2.5).alias("spacing_mm"), triple(0.0, 0.0, 0.0).alias("origin_mm"))
+
+
+@query(f"WITH {VOX} SELECT case_id, CASE WHEN case_id % 3 <> 2 AND case_id % 2 = 0 THEN 9 - z ELSE z END AS z, y, x, value, CASE WHEN case_id % 3 <> 2 THEN 1.0 + case_id % 5 / 4.0 ELSE 2.5 END::DOUBLE AS spacing_z FROM vox")
+def apply_geometry(spark: SparkSession, d: str) -> DataFrame:
+    """Estimated spacings and slice orders; a third of the cases has none, and stays."""
+    estimated = cases(spark, d).where("case_id % 3 <> 2").select("case_id", F.array(F.lit(1.0), F.lit(1.0), 1.0 + F.col("case_id") % 5 / 4.0).alias("spacing_mm"), (F.col("case_id") % 2 == 0).alias("k_axis_flip"))
+    volume, headers = V.apply_geometry(intensities(spark, d), grids(spark, d), estimated)
+    return volume.join(headers.select("case_id", F.get("spacing_mm", F.lit(2)).alias("spacing_z")), "case_id").select("case_id", "z", "y", "x", "value", "spacing_z")
+
+
+@query(f"""WITH {VOX}, t AS (SELECT case_id, a.i::INT AS z, b.i::INT AS y, c.i::INT AS x FROM cs, range(13) a(i), range(10) b(i), range(8) c(i) WHERE case_id % 2 = 1)
+SELECT case_id, z, y, x FROM vox WHERE gt AND case_id % 2 = 0 UNION ALL SELECT t.case_id, t.z, t.y, t.x FROM t JOIN vox v ON v.case_id = t.case_id AND gt AND v.z = floor((0.5 + t.z * 2.0::DOUBLE) / 2.5 + 0.5) AND v.y = t.y AND v.x = floor(0.25 + t.x * 1.25::DOUBLE + 0.5)""")
+def align_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Masks on the grid of their image: the same for even cases, a coarser one that starts elsewhere for the others."""
+    own, odd = grids(spark, d), F.col("case_id") % 2 == 1
+    triple = lambda *v: F.array(*[F.lit(x) for x in v])
+    reference = own.select("case_id", F.when(odd, triple(8, 10, 13)).otherwise(F.col("size")).alias("size"), F.when(odd, triple(1.25, 1.0, 2.0)).otherwise(F.col("spacing_mm")).alias("spacing_mm"), F.when(odd, triple(0.25, 0.0, 0.5)).otherwise(F.col("origin_mm")).alias("origin_mm"))
+    return V.align(voxels(spark, d).where("gt"), own, reference)
+
+
 @query(f"WITH {VOX} SELECT case_id, z - 2 AS z, y - 1 AS y, x - 3 AS x, value FROM vox WHERE z BETWEEN 2 AND 7 AND y BETWEEN 1 AND 8 AND x BETWEEN 3 AND 9")
 def crop_box(spark: SparkSession, d: str) -> DataFrame:
     return V.crop(intensities(spark, d), {"z": 2, "y": 1, "x": 3}, {"z": 7, "y": 8, "x": 9})
@@ -85,21 +110,12 @@ def slice_profile(spark: SparkSession, d: str) -> DataFrame:
     return V.slice_profile(voxels(spark, d).where("gt"))
 
 
-@query(f"WITH {VOX}, p AS (SELECT case_id, z, count(*) FILTER (WHERE gt AND x < 2 AND y < 5) AS n FROM vox GROUP BY 1, 2), e AS (SELECT case_id, min(z) AS z0, max(z) AS z1 FROM p WHERE n > 0 GROUP BY 1) SELECT case_id, z - z0 AS k, n FROM p JOIN e USING (case_id) WHERE z BETWEEN z0 AND z1")
-def trim_profile(spark: SparkSession, d: str) -> DataFrame:
-    return trimmed_profile(spark, d, "gt and x < 2 and y < 5")
-
-
 @query(f"WITH {VOX}, p AS (SELECT case_id, z, count(*) FILTER (WHERE gt) AS n FROM vox GROUP BY 1, 2), e AS (SELECT case_id, min(z) AS z0, max(z) AS z1 FROM p WHERE n > 0 GROUP BY 1) SELECT case_id, z - z0 AS k, n FROM p JOIN e USING (case_id) WHERE z BETWEEN z0 AND z1")
-def trim_profile_whole(spark: SparkSession, d: str) -> DataFrame:
-    return trimmed_profile(spark, d, "gt")
-
-
-def trimmed_profile(spark: SparkSession, d: str, where: str) -> DataFrame:
+def trim_profile(spark: SparkSession, d: str) -> DataFrame:
     """Counts by slice, from the first slice that has any to the last."""
-    p = voxels(spark, d).groupBy("case_id", "z").agg(F.count_if(F.expr(where)).alias("n"))
-    ends = p.where("n > 0").groupBy("case_id").agg(F.min("z").alias("z0"), F.max("z").alias("z1"))
-    return p.join(ends, "case_id").where("z between z0 and z1").select("case_id", (F.col("z") - F.col("z0")).alias("k"), "n")
+    counts = F.array(*[F.count_if(F.col("gt") & (F.col("z") == z)).cast("double") for z in range(SIZE["z"])])
+    p = voxels(spark, d).groupBy("case_id").agg(S.trimmed(counts).alias("profile"))
+    return p.select("case_id", F.posexplode("profile").alias("k", "n")).withColumn("n", F.col("n").cast("bigint"))
 
 
 @query(f"WITH {VOX} SELECT case_id, event_type AS level, round(sum(z * 2.5::DOUBLE) / count(*), 6) AS centroid_z_mm, min(z) * 2.5::DOUBLE AS z0_mm, max(z) * 2.5::DOUBLE AS z1_mm, min(z) = 0 OR max(z) = 9 AS touches_volume_edge FROM vox WHERE value >= 120 GROUP BY 1, 2")

@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import SIZE_BINS, diameter, ratio, size_bin, wilson
 from ..operators import evaluation as E
-from ..operators.components import contingency, drop_small, label_components
+from ..operators import splits
+from ..operators.components import contingency, drop_small, label_components, numbered
 from .registry import query, read, rounded
-from .voxels import LEVELS, SWEEP, THRESHOLDS, VOLUME, VOX, bin_of, cases, components, esd_of, evaluation, mask, sweep, voxels, wilson_of
+from .voxels import ALL_CASES, LEVELS, SWEEP, VOLUME, VOX, bin_of, cases, components, esd_of, evaluation, mask, voxels, wilson_of, with_empty
 
 KEYS = ("case_id",)
+
+
 def dataset_of():
     return F.concat(F.lit("D"), (F.col("case_id") % 3).cast("string"))
 
 
-
 def labelled(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return label_components(voxels(spark, d).where(kind))
 
@@ -28,7 +30,7 @@ def evaluated(spark: SparkSession, d: str, least: int = 0) -> tuple[DataFrame, D
     return every, rows, fps, E.case_totals_of(table, every)
 
 
-def swept(spark: SparkSession, d: str, levels: tuple[int, ...] = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def swept(spark: SparkSession, d: str, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Cases, lesion rows, false positives and thresholds of the sweep."""
     table = contingency(voxels(spark, d), "p255", levels)
     rows, fps = (f(table, VOLUME).withColumn("dataset", dataset_of()) for f in (E.lesions_of, E.false_positives_of))
@@ -114,22 +116,17 @@ def pooled_voxel_metrics(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.overall_metrics(*evaluated(spark, d)).select("scope", "voxel_recall_pooled", "voxel_precision_pooled", "voxel_dice_pooled"))
 
 
-@query(f"WITH {VOX}, t AS (SELECT case_id, dataset, 2.0 * count(*) FILTER (WHERE gt AND pred AND x < 2) / nullif(count(*) FILTER (WHERE gt AND x < 2) + count(*) FILTER (WHERE pred AND x < 2), 0) AS dice FROM vox GROUP BY 1, 2) SELECT dataset, count(*) AS cases, count(dice) AS defined, round(avg(dice), 6) AS case_tumour_dice_mean FROM t GROUP BY 1")
-def macro_mean(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of the defined Dice values of a thin slab, where both masks may be empty."""
-    return mean_dice(spark, d, "x < 2")
+_DICE = f"{VOX}, {ALL_CASES}, t AS (SELECT ac.case_id, ac.dataset, 2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0) AS dice FROM ac LEFT JOIN vox USING (case_id) GROUP BY 1, 2)"
 
 
-@query(f"WITH {VOX}, t AS (SELECT case_id, dataset, 2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0) AS dice FROM vox GROUP BY 1, 2) SELECT dataset, count(*) AS cases, count(dice) AS defined, round(avg(dice), 6) AS case_tumour_dice_mean FROM t GROUP BY 1")
-def macro_mean_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Mean of the defined Dice values of whole masks."""
-    return mean_dice(spark, d, "true")
+def dice(spark: SparkSession, d: str) -> DataFrame:
+    return E.case_totals_marked(with_empty(cases(spark, d)), voxels(spark, d))
 
 
-def mean_dice(spark: SparkSession, d: str, where: str) -> DataFrame:
-    part = voxels(spark, d).where(where)
-    totals = E.case_totals(cases(spark, d), part.where("gt"), part.where("pred"))
-    return rounded(totals.groupBy("dataset").agg(F.count("*").alias("cases"), F.count("case_dice").alias("defined"), F.avg("case_dice").alias("case_tumour_dice_mean")))
+@query(f"WITH {_DICE} SELECT dataset, count(*) AS cases, count(dice) AS defined, round(avg(dice), 6) AS case_tumour_dice_mean FROM t GROUP BY 1")
+def macro_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Mean of the defined Dice values of whole masks; cases with two empty masks have none."""
+    return rounded(dice(spark, d).groupBy("dataset").agg(F.count("*").alias("cases"), F.count("case_dice").alias("defined"), F.avg("case_dice").alias("case_tumour_dice_mean")))
 
 
 @query(evaluation() + _OVERALL + "SELECT scope, cases, lesions, detected, fps AS false_positive_components, round(dice, 6) AS case_tumour_dice_mean, round(fps::DOUBLE / cases, 6) AS fp_per_case FROM om")
@@ -140,20 +137,11 @@ def scope_grouping_sets(spark: SparkSession, d: str) -> DataFrame:
 _WL, _WH = wilson_of("k", "n")
 
 
-@query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred AND y = 0) AS k, count(*) FILTER (WHERE gt AND y = 0) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
+@query(f"WITH {VOX}, {ALL_CASES}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred) AS k, count(*) FILTER (WHERE gt) AS n FROM ac LEFT JOIN vox USING (case_id) GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
 def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
-    return covered_interval(spark, d, "y = 0")
-
-
-@query(f"WITH {VOX}, t AS (SELECT case_id, count(*) FILTER (WHERE gt AND pred) AS k, count(*) FILTER (WHERE gt) AS n FROM vox GROUP BY 1) SELECT case_id, k, n, round({_WL}, 6) + 0.0 AS ci95_low, round({_WH}, 6) AS ci95_high FROM t")
-def wilson_interval_whole(spark: SparkSession, d: str) -> DataFrame:
-    return covered_interval(spark, d, "true")
-
-
-def covered_interval(spark: SparkSession, d: str, where: str) -> DataFrame:
-    """Of each case's true voxels where `where` holds, those found, with their interval; nulls where there are none."""
-    t = voxels(spark, d).groupBy("case_id").agg(F.count_if(F.expr(f"gt and pred and {where}")).alias("k"), F.count_if(F.expr(f"gt and {where}")).alias("n"))
+    """Of each case's true voxels those found, with their interval; nulls where there are none."""
     low, high = wilson(F.col("k"), F.col("n"))
+    t = dice(spark, d).select("case_id", F.col("tp_voxels").alias("k"), F.col("gt_voxels").alias("n"))
     return rounded(t.select("case_id", "k", "n", low.alias("ci95_low"), high.alias("ci95_high")))
 
 
@@ -163,9 +151,10 @@ def safe_ratio(spark: SparkSession, d: str) -> DataFrame:
     return rounded(voxels(spark, d).groupBy("case_id", "z").agg(ratio(both, F.count_if("gt")).alias("recall"), ratio(both, F.count_if("pred")).alias("precision")))
 
 
-@query(f"WITH RECURSIVE {VOX}, {components('p', mask('pred'))}, big AS (SELECT case_id, component FROM p GROUP BY 1, 2 HAVING count(*) >= 3) SELECT case_id, v AS voxel_id, component FROM p WHERE component IN (SELECT component FROM big)")
+@query(f"WITH RECURSIVE {VOX}, {components('p', mask('pred'))}, big AS (SELECT case_id, component, row_number() OVER (PARTITION BY case_id ORDER BY component)::INT AS label FROM p GROUP BY 1, 2 HAVING count(*) >= 3) SELECT case_id, v AS voxel_id, component, label FROM p JOIN big USING (case_id, component)")
 def min_component_filter(spark: SparkSession, d: str) -> DataFrame:
-    return drop_small(labelled(spark, d, "pred"), 3).select("case_id", "voxel_id", "component")
+    """Components of three voxels or more, numbered anew."""
+    return numbered(drop_small(labelled(spark, d, "pred"), 3)).select("case_id", "voxel_id", "component", "label")
 
 
 @query(f"WITH {VOX} SELECT case_id, count(*) FILTER (WHERE p255 > 0) AS foreground, count(*) FILTER (WHERE p255 = 60) AS labelled, count(*) FILTER (WHERE p255 >= 128) AS likely FROM vox GROUP BY 1")
@@ -173,38 +162,21 @@ def mask_threshold(spark: SparkSession, d: str) -> DataFrame:
     return voxels(spark, d).groupBy("case_id").agg(F.count_if(F.col("p255") > 0).alias("foreground"), F.count_if(F.col("p255") == 60).alias("labelled"), F.count_if(F.col("p255") >= 128).alias("likely"))
 
 
-@query(f"""WITH {VOX} SELECT case_id, round(2.0 * count(*) FILTER (WHERE gt AND pred AND z < 2) / nullif(count(*) FILTER (WHERE gt AND z < 2) + count(*) FILTER (WHERE pred AND z < 2), 0), 6) AS evaluated_dice,
-round(coalesce(2.0 * count(*) FILTER (WHERE gt AND pred AND z < 2) / nullif(count(*) FILTER (WHERE gt AND z < 2) + count(*) FILTER (WHERE pred AND z < 2), 0), 1.0), 6) AS registered_dice FROM vox GROUP BY 1""")
+@query(f"WITH {_DICE} SELECT case_id, round(dice, 6) AS evaluated_dice, round(coalesce(dice, 1.0), 6) AS registered_dice FROM t")
 def mask_dice(spark: SparkSession, d: str) -> DataFrame:
     """Both conventions for two empty masks: null when evaluating, 1 when registering."""
-    return both_dice(spark, d, "z < 2")
-
-
-@query(f"""WITH {VOX} SELECT case_id, round(2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0), 6) AS evaluated_dice,
-round(coalesce(2.0 * count(*) FILTER (WHERE gt AND pred) / nullif(count(*) FILTER (WHERE gt) + count(*) FILTER (WHERE pred), 0), 1.0), 6) AS registered_dice FROM vox GROUP BY 1""")
-def mask_dice_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The same over whole masks."""
-    return both_dice(spark, d, "true")
-
-
-def both_dice(spark: SparkSession, d: str, where: str) -> DataFrame:
-    part = voxels(spark, d).where(where)
-    out = E.case_totals(cases(spark, d), part.where("gt"), part.where("pred"))
-    return rounded(out.select("case_id", F.col("case_dice").alias("evaluated_dice"), F.coalesce("case_dice", F.lit(1.0)).alias("registered_dice")))
+    return rounded(dice(spark, d).select("case_id", F.col("case_dice").alias("evaluated_dice"), F.coalesce("case_dice", F.lit(1.0)).alias("registered_dice")))
 
 
 @query(f"WITH {VOX} SELECT case_id, z, y, x FROM vox WHERE gt OR pred")
 def mask_union(spark: SparkSession, d: str) -> DataFrame:
-    at = ["case_id", "z", "y", "x"]
-    v = voxels(spark, d)
-    return v.where("gt").select(*at).union(v.where("pred").select(*at)).distinct()
+    """Masks are flags of one relation, so their algebra is a filter."""
+    return voxels(spark, d).where("gt or pred").select("case_id", "z", "y", "x")
 
 
 @query(f"WITH {VOX} SELECT case_id, z, y, x FROM vox WHERE gt AND pred")
 def mask_intersection(spark: SparkSession, d: str) -> DataFrame:
-    at = ["case_id", "z", "y", "x"]
-    v = voxels(spark, d)
-    return v.where("gt").select(*at).intersect(v.where("pred").select(*at))
+    return voxels(spark, d).where("gt and pred").select("case_id", "z", "y", "x")
 
 
 @query(f"WITH {VOX} SELECT case_id, count(*) * 60.0::DOUBLE / 1000 AS volume_ml, (max(z) - min(z) + 1) * 2.5::DOUBLE AS z_extent_mm FROM vox WHERE gt GROUP BY 1")
@@ -309,6 +281,26 @@ def split_summary(spark: SparkSession, d: str) -> DataFrame:
     return split_totals(rows.withColumn("subset", part), grid)
 
 
+def protocol_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Cases with their labels, whether they have small lesions, and whether their masks are clean."""
+    rows = case_labels(case_bins(spark, d))
+    return rows.select("case_id", "labels", F.exists(F.array(*SIZE_BINS[:1]), lambda n: n > 1).alias("small"), (F.col("case_id") % 7 != 3).alias("clean"))
+
+
+@query(_LABELS + " SELECT case_id, CASE WHEN case_id % 7 <> 3 THEN CASE WHEN b0 > 1 THEN 'small' ELSE 'pool' END ELSE CASE WHEN b0 > 1 THEN 'excluded' ELSE 'forced' END END AS pool FROM cl")
+def split_pools(spark: SparkSession, d: str) -> DataFrame:
+    """What each case may be used for, if small lesions are held out and unclean cases only trained on."""
+    return splits.pools(protocol_rows(spark, d), "small", "clean").select("case_id", "pool")
+
+
+@query()
+def split_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """The split by that protocol. It is a sequential greedy, which SQL does not express; tests compare it with a plain
+    version of the same rules."""
+    out = splits.split(protocol_rows(spark, d), {"train": 0.7, "val": 0.1, "test": 0.2}, small="small", clean="clean")
+    return out.select(F.col("case_id").cast("bigint").alias("case_id"), "subset", "reason")
+
+
 @query(_LESIONS + ", b AS (SELECT unnest(['0_5mm', '5_10mm', '10_15mm', 'gt_15mm']) AS size_bin), sc AS (SELECT DISTINCT dataset AS scope FROM cs UNION ALL SELECT 'overall') SELECT sc.scope, b.size_bin, count(component) AS lesions FROM sc CROSS JOIN b LEFT JOIN s ON s.size_bin = b.size_bin AND (scope = 'overall' OR s.dataset = scope) GROUP BY 1, 2")
 def zero_filled_pivot(spark: SparkSession, d: str) -> DataFrame:
     rows, every = lesion_rows(spark, d), cases(spark, d)
@@ -317,14 +309,14 @@ def zero_filled_pivot(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(counts, ["scope", "size_bin"], "left").select("scope", "size_bin", F.coalesce("n", F.lit(0)).alias("lesions"))
 
 
-_REPORT = """,
+_REPORT = f""",
 bridge AS (SELECT * FROM (VALUES ('0_5mm', '0_5mm'), ('5_10mm', '5_10mm'), ('10_15mm', '10_15mm'), ('gt_15mm', 'gt_15mm'), ('5_15mm', '5_10mm'), ('5_15mm', '10_15mm'), ('all', '0_5mm'), ('all', '5_10mm'), ('all', '10_15mm'), ('all', 'gt_15mm')) b(report_bin, size_bin)),
 rb AS (SELECT DISTINCT report_bin FROM bridge),
 sc AS (SELECT coalesce(dataset, 'overall') AS scope, count(*) AS cases FROM cs GROUP BY GROUPING SETS ((), (dataset))),
 lb AS (SELECT coalesce(dataset, 'overall') AS scope, report_bin, k, count(*) AS lesions, count(*) FILTER (WHERE detected) AS detected FROM les JOIN bridge USING (size_bin) GROUP BY GROUPING SETS ((report_bin, k), (dataset, report_bin, k))),
 fb AS (SELECT coalesce(dataset, 'overall') AS scope, report_bin, k, count(*) AS n FROM fp JOIN bridge USING (size_bin) GROUP BY GROUPING SETS ((report_bin, k), (dataset, report_bin, k))),
 fr AS (SELECT sc.scope, rb.report_bin, tk.k AS threshold, coalesce(lesions, 0) AS lesions, coalesce(detected, 0) AS detected, coalesce(fb.n, 0) AS fp_in_bin, coalesce(fa.n, 0)::DOUBLE / cases AS fp_per_case
-  FROM sc CROSS JOIN rb CROSS JOIN (SELECT unnest([51, 90, 128, 179, 217]) AS k) tk LEFT JOIN lb ON lb.scope = sc.scope AND lb.report_bin = rb.report_bin AND lb.k = tk.k
+  FROM sc CROSS JOIN rb CROSS JOIN (SELECT unnest({list(LEVELS)}) AS k) tk LEFT JOIN lb ON lb.scope = sc.scope AND lb.report_bin = rb.report_bin AND lb.k = tk.k
   LEFT JOIN fb ON fb.scope = sc.scope AND fb.report_bin = rb.report_bin AND fb.k = tk.k LEFT JOIN fb fa ON fa.scope = sc.scope AND fa.report_bin = 'all' AND fa.k = tk.k)
 """
 
@@ -336,8 +328,6 @@ tg AS (SELECT unnest([0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0])::DOUBLE AS target),
 hit AS (SELECT scope, report_bin, target, arg_min(CASE WHEN x1 = x0 THEN y0 ELSE y0 + (y1 - y0) * (target - x0) / (x1 - x0) END, i) AS s FROM pr JOIN tg ON x0 <= target AND target <= x1 GROUP BY 1, 2, 3),
 fst AS (SELECT scope, report_bin, target, y0 AS s FROM pr, tg WHERE i = 1 AND abs(x0 - target) < 1e-9)
 SELECT g.scope, g.report_bin, g.target, round(coalesce(hit.s, fst.s), 6) AS sensitivity FROM (SELECT DISTINCT scope, report_bin, target FROM fr, tg) g LEFT JOIN hit USING (scope, report_bin, target) LEFT JOIN fst USING (scope, report_bin, target)"""
-#: The same over all thresholds of the sweep.
-_SWEPT_WHOLE = evaluation(sweep(LEVELS)) + _REPORT.replace(str(list(THRESHOLDS)), str(list(LEVELS)))
 
 
 @query(evaluation(SWEEP) + _REPORT + _CURVE)
@@ -345,21 +335,11 @@ def froc_curve(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.froc(*swept(spark, d)))
 
 
-@query(_SWEPT_WHOLE + _CURVE)
-def froc_curve_whole(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.froc(*swept(spark, d, LEVELS)))
-
-
 @query(evaluation(SWEEP) + _REPORT + _AT_TARGETS)
 def froc_interpolate(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.at_targets(E.froc(*swept(spark, d))))
 
 
-@query(_SWEPT_WHOLE + _AT_TARGETS)
-def froc_interpolate_whole(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(E.at_targets(E.froc(*swept(spark, d, LEVELS))))
-
-
 @query(_LESIONS + ", bridge AS (SELECT * FROM (VALUES ('0_5mm', '0_5mm'), ('5_10mm', '5_10mm'), ('10_15mm', '10_15mm'), ('gt_15mm', 'gt_15mm'), ('5_15mm', '5_10mm'), ('5_15mm', '10_15mm'), ('all', '0_5mm'), ('all', '5_10mm'), ('all', '10_15mm'), ('all', 'gt_15mm')) b(report_bin, size_bin)) SELECT report_bin, count(*) AS lesions, count(DISTINCT case_id) AS cases FROM s JOIN bridge USING (size_bin) GROUP BY 1")
 def overlapping_bins(spark: SparkSession, d: str) -> DataFrame:
     bridge = spark.createDataFrame([(r, b) for r, bins in E.REPORT_BINS.items() for b in bins], "report_bin string, size_bin string")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import AXIS_SCALE, DICE_GATE, absent
 from ..operators import records as R
+from ..operators import taxonomy
+from ..operators.registration import select_candidate
+from ..sources import archives
 from .registry import query, read
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -33,7 +36,7 @@ def limit_per_group(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_required(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
-    return R.required(read(spark, d, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"], strict=False).select("o_orderkey", "c_name", "c_mktsegment")
+    return R.required(read(spark, d, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"]).select("o_orderkey", "c_name", "c_mktsegment")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS orders, coalesce(s, '') AS last_status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderstatus) AS s FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON o_custkey = c_custkey")
@@ -56,17 +59,19 @@ def anti_join_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_name, count(o_orderkey) AS lesion_count_total, coalesce(max(o_orderpriority), 'none') AS worst FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' GROUP BY 1, 2")
 def merge_update(spark: SparkSession, d: str) -> DataFrame:
-    """The manifest with the columns that a later stage adds."""
-    added = read(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("w"))
-    return read(spark, d, "customer").select("c_custkey", "c_name").join(added, "c_custkey", "left").select("c_custkey", "c_name", F.coalesce("n", F.lit(0)).alias("lesion_count_total"), F.coalesce("w", F.lit("none")).alias("worst"))
+    """The manifest with the columns that a later stage adds; the stage has a row for every case, or the merge raises."""
+    manifest = read(spark, d, "customer").select("c_custkey", "c_name")
+    found = read(spark, d, "orders").where("o_orderstatus = 'P'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("w"))
+    updates = manifest.select("c_custkey").join(found, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("lesion_count_total"), F.coalesce("w", F.lit("none")).alias("worst"))
+    return R.merged(manifest, updates, ["c_custkey"]).select("c_custkey", "c_name", "lesion_count_total", "worst")
 
 
-@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'failed' ELSE 'complete' END AS status FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0")
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderpriority = '1-URGENT' OR o_orderstatus = 'P' AND o_totalprice > 400000 THEN 'failed' WHEN o_orderstatus <> 'P' THEN 'complete' END AS status FROM orders WHERE o_orderpriority = '1-URGENT' OR o_orderstatus <> 'P' OR o_totalprice > 400000")
 def upsert_precedence(spark: SparkSession, d: str) -> DataFrame:
-    """Complete records on disk, overridden by this run's failures."""
-    o = read(spark, d, "orders")
-    of = lambda n, s: o.where(F.col("o_orderkey") % n == 0).select(F.col("o_orderkey").alias("k"), F.lit(s).alias("status"))
-    return R.upsert(of(3, "complete"), of(5, "failed"), ["k"])
+    """Complete records on disk, overridden by this run's failures, which may also be new."""
+    o, failed = read(spark, d, "orders"), (F.col("o_orderpriority") == "1-URGENT") | ((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000))
+    of = lambda where, status: o.where(where).select(F.col("o_orderkey").alias("k"), F.lit(status).alias("status"))
+    return R.upsert(of(F.col("o_orderstatus") != "P", "complete"), of(failed, "failed"), ["k"])
 
 
 @query("SELECT o_orderkey, c_name AS customer, n_name AS nation, r_name AS region, round(o_totalprice / 1000, 6) AS price_k FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -151,8 +156,8 @@ def version_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus AS dataset, count(*) AS stale FROM orders WHERE o_totalprice > 100000 AND o_orderpriority <> '2-HIGH' AND o_orderstatus <> 'P' GROUP BY 1")
 def stale_records(spark: SparkSession, d: str) -> DataFrame:
     """Complete records of another version in datasets that are not replaced."""
-    o = read(spark, d, "orders").where((F.col("o_totalprice") > 100000) & (F.col("o_orderpriority") != "2-HIGH") & ~F.col("o_orderstatus").isin("P"))
-    return o.groupBy(F.col("o_orderstatus").alias("dataset")).agg(F.count("*").alias("stale"))
+    records = read(spark, d, "orders").select(F.col("o_orderstatus").alias("dataset"), F.col("o_orderpriority").alias("pipeline_version"), (F.col("o_totalprice") > 100000).alias("complete"))
+    return R.stale(records, "2-HIGH", ["P"], F.col("complete")).groupBy("dataset").agg(F.count("*").alias("stale"))
 
 
 # Line items, parts and suppliers
@@ -188,13 +193,16 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("method")).agg(F.max(F.col("l_quantity") / 50).alias("dice"), F.min(place).alias("place"))
 
 
-@query(f"WITH {_CANDIDATES}, b AS (SELECT k, max(dice) FILTER (WHERE method <> 'A') AS base, max(dice) FILTER (WHERE method = 'A') AS spline, arg_max(method, dice * 1000 - place) AS best, arg_max(method, dice * 1000 - place) FILTER (WHERE method <> 'A') AS best_base FROM ca GROUP BY 1) SELECT k, CASE WHEN spline IS NULL THEN best_base WHEN base IS NULL OR spline >= base - 0.02 THEN 'A' ELSE best_base END AS method FROM b")
+_NAMES = {"N": "centroid", "R": "rigid", "A": "bspline"}
+
+
+@query(f"""WITH {_CANDIDATES}, b AS (SELECT k, max(dice) FILTER (WHERE method <> 'A') AS base, max(dice) FILTER (WHERE method = 'A') AS spline, arg_max(method, dice * 1000 - place) FILTER (WHERE method <> 'A') AS best FROM ca GROUP BY 1),
+ch AS (SELECT k, base, spline, CASE WHEN spline IS NOT NULL AND (base IS NULL OR spline >= base - 0.02) THEN 'A' ELSE best END AS m FROM b)
+SELECT k, CASE m WHEN 'N' THEN 'centroid' WHEN 'R' THEN 'rigid' ELSE 'bspline' END AS method, CASE m WHEN 'A' THEN spline ELSE base END AS dice, CASE m WHEN 'A' THEN spline ELSE base END >= 0.80 AS usable FROM ch""")
 def candidate_selection(spark: SparkSession, d: str) -> DataFrame:
-    """The spline if it is within 0.02 of the best of the others, else that one."""
-    c, other = candidates(spark, d), F.col("method") != "A"
-    order = F.struct("dice", -F.col("place"))
-    g = c.groupBy("k").agg(F.max(F.when(other, F.col("dice"))).alias("base"), F.max(F.when(~other, F.col("dice"))).alias("spline"), F.max_by("method", F.when(other, order)).alias("best"))
-    return g.select("k", F.when(F.col("spline").isNull(), F.col("best")).when(F.col("base").isNull() | (F.col("spline") >= F.col("base") - 0.02), "A").otherwise(F.col("best")).alias("method"))
+    """The spline if it is within 0.02 of the best of the others, else that one; and whether it passes the gate."""
+    named = F.create_map(*[F.lit(x) for pair in _NAMES.items() for x in pair])[F.col("method")]
+    return select_candidate(candidates(spark, d).withColumn("method", named), keys=("k",))
 
 
 @query(f"WITH {_CANDIDATES} SELECT k, method, dice FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY dice DESC, place) AS r FROM ca) WHERE r = 1")
@@ -320,8 +328,53 @@ def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     return R.first_of(rows, ["l_orderkey", "l_linenumber"], [F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey")]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+#: Customers as cases, with diagnoses by number.
+_DIAGNOSED = ", ".join("('" + "', '".join(str(x) for x in row) + "')" for row in taxonomy.DIAGNOSES)
+
+
+@query(f"""WITH t(diagnosis, lesion_presence, p, behavior, b, origin, o, diagnosis_coarse, c, diagnosis_fine, f) AS (VALUES {_DIAGNOSED}),
+x AS (SELECT ['CN', 'HH', 'HCC', 'ICC', 'CHCC', 'cHCC-CCA', 'CRLM', 'BCLM'][(c_custkey * 7 + c_nationkey) % 8 + 1] AS diagnosis FROM customer)
+SELECT lesion_presence, behavior, b::INT AS behavior_id, origin, o::INT AS origin_id, diagnosis_coarse, c::INT AS diagnosis_coarse_id, diagnosis_fine, f::INT AS diagnosis_fine_id, count(*) AS n FROM x JOIN t USING (diagnosis) GROUP BY ALL""")
+def diagnosis_taxonomy(spark: SparkSession, d: str) -> DataFrame:
+    """Cases by all levels of the label hierarchy; an unknown diagnosis would raise."""
+    names = F.array(*[F.lit(x) for x in ("CN", "HH", "HCC", "ICC", "CHCC", "cHCC-CCA", "CRLM", "BCLM")])
+    cases = read(spark, d, "customer").select(F.element_at(names, ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 8 + 1).cast("int")).alias("diagnosis"))
+    levels = ("lesion_presence", "behavior", "behavior_id", "origin", "origin_id", "diagnosis_coarse", "diagnosis_coarse_id", "diagnosis_fine", "diagnosis_fine_id")
+    return taxonomy.labelled(cases).groupBy(*levels).agg(F.count("*").alias("n"))
+
+
 # Pages and documents
 
+#: Pages as members of three archives: most are named as lesion masks, with many names in common, some are empty.
+_CATALOG = """ct AS (SELECT 'a' || (page_id % 3) || '.zip' AS archive, CASE WHEN page_id % 5 = 0 THEN 'notes/' || page_id || '.txt' ELSE 'masks/' || (page_id % 40) || '_' || (page_id % 4) || '_' || (page_id // 3 % 3) || '_tumor_seg.nrrd' END AS member,
+  CASE WHEN page_id % 11 = 0 THEN 0 ELSE page_id + 1 END AS size FROM pages), cb AS (SELECT *, regexp_extract(member, '[^/]*$') AS basename FROM ct)"""
+
+
+def catalog(spark: SparkSession, d: str) -> DataFrame:
+    i, text = F.col("page_id"), lambda c: c.cast("string")
+    mask = F.concat(F.lit("masks/"), text(i % 40), F.lit("_"), text(i % 4), F.lit("_"), text(F.floor(i / 3).cast("bigint") % 3), F.lit("_tumor_seg.nrrd"))
+    member = F.when(i % 5 == 0, F.concat(F.lit("notes/"), text(i), F.lit(".txt"))).otherwise(mask)
+    rows = read(spark, d, "pages").select(F.concat(F.lit("a"), text(i % 3), F.lit(".zip")).alias("archive"), member.alias("member"), F.when(i % 11 == 0, 0).otherwise(i + 1).alias("size"))
+    return rows.withColumn("basename", F.element_at(F.split("member", "/"), -1))
+
+
+@query(f"WITH {_CATALOG} SELECT basename, count(*) AS n FROM cb GROUP BY 1 HAVING count(*) > 1")
+def catalog_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return archives.duplicates(catalog(spark, d))
+
+
+@query(f"WITH {_CATALOG}, wn AS (SELECT DISTINCT (page_id % 50) || '_' || (page_id % 4) || '_' || (page_id % 3) || '_tumor_seg.nrrd' AS basename FROM pages) SELECT basename FROM wn WHERE basename NOT IN (SELECT basename FROM cb WHERE size > 0)")
+def catalog_missing(spark: SparkSession, d: str) -> DataFrame:
+    i, text = F.col("page_id"), lambda c: c.cast("string")
+    wanted = read(spark, d, "pages").select(F.concat_ws("_", text(i % 50), text(i % 4), text(i % 3), F.lit("tumor_seg.nrrd")).alias("basename")).distinct()
+    return archives.missing(catalog(spark, d), wanted)
+
+
+@query(f"""WITH {_CATALOG}, fi AS (SELECT archive, member, regexp_extract(member, '(\\d+)_(\\d+)_(\\d+)_tumor_seg\\.nrrd$', ['a', 'b', 'c']) AS g, row_number() OVER (PARTITION BY basename ORDER BY archive, member) AS r FROM cb WHERE member LIKE 'masks/%')
+SELECT g.a AS patient_id, g.b AS phase, g.c AS lesion, archive, member FROM fi WHERE r = 1""")
+def lesion_mask_index(spark: SparkSession, d: str) -> DataFrame:
+    return archives.lesion_masks(catalog(spark, d))
+
 
 @query("SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS host, regexp_extract(url, '/([a-z]{2})/(\\d+)', 1) AS lang, TRY_CAST(nullif(regexp_extract(url, '/([a-z]{2})/(\\d+)', 2), '') AS BIGINT) AS number FROM pages")
 def regex_member_parse(spark: SparkSession, d: str) -> DataFrame:

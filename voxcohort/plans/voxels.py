@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from .registry import read
 
-#: mm3 of a voxel; thresholds (of 255) of the short probability sweep and of the whole one.
+#: mm3 of a voxel; thresholds (of 255) of the probability sweep.
 VOLUME = 60.0
-THRESHOLDS = (51, 90, 128, 179, 217)
 LEVELS = tuple(E.level_of(p) for p in E.THRESHOLDS)
 
 
@@ -28,7 +27,19 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voxels(spark, sf_dir).select("case_id", "dataset").distinct()
+    """The header table: a row for each volume. Volumes are numbered without gaps, so the ends of the ids' one column tell
+    them all, without a distinct over voxels."""
+    ids = read(spark, sf_dir, "events").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b")).where("a is not null")
+    case = F.explode(F.sequence(F.floor(F.col("a") / 1000).cast("bigint"), F.floor(F.col("b") / 1000).cast("bigint")))
+    return ids.select(case.alias("case_id")).withColumn("dataset", F.concat(F.lit("D"), (F.col("case_id") % 3).cast("string")))
+
+
+#: Cases without a voxel in either mask, one for each dataset, as all volumes have some; by construction, not by a cut.
+EMPTY = ((-1, "D0"), (-2, "D1"), (-3, "D2"))
+
+
+def with_empty(found: DataFrame) -> DataFrame:
+    return found.unionByName(found.sparkSession.createDataFrame(list(EMPTY), "case_id long, dataset string"))
 
 
 VOX = """vox AS (SELECT event_id AS v, event_id // 1000 AS case_id, ((event_id % 1000) // 100)::INT AS z, ((event_id % 100) // 10)::INT AS y, (event_id % 10)::INT AS x,
@@ -54,7 +65,9 @@ def sweep(levels: tuple[int, ...]) -> str:
     return f"SELECT t.k, case_id, z, y, x, v FROM vox, (SELECT unnest({list(levels)}) AS k) t WHERE p255 >= t.k"
 
 
-SWEEP = sweep(THRESHOLDS)
+SWEEP = sweep(LEVELS)
+#: All cases, the empty ones included.
+ALL_CASES = "ac AS (SELECT case_id, dataset FROM cs UNION ALL SELECT * FROM (VALUES (-1, 'D0'), (-2, 'D1'), (-3, 'D2')))"
 
 
 def bin_of(d: str) -> str:
