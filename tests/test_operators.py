@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxcohort.functions import scalars as fn
-from voxcohort.operators import components, estimators, evaluation, records, registration, splits, taxonomy, volumes
+from voxcohort.operators import components, estimators, evaluation, records, registration, taxonomy, volumes
 from voxcohort.operators.components import drop_small, label, label_components, label_components_joined
 
 
@@ -153,37 +153,111 @@ def test_taxonomy(spark):
         taxonomy.labelled(spark.createDataFrame([("XYZ",), (None,)], "diagnosis string"))
 
 
-def label_sets(n, seed):
-    rng = random.Random(seed)
-    out = {}
-    for i in range(n):
-        labels = [f"dataset={rng.choice('ABC')}", "lesions=none" if rng.random() < 0.1 else "lesions=present"]
-        out[f"c{i:04d}"] = labels + (["rare"] if rng.random() < 0.2 else [])
-    return out
+def test_label_schema():
+    doc = taxonomy.schema()
+    h = doc["hierarchies"]
+    assert h["lesion_presence"] == {"absent": 0, "present": 1} and h["behavior"] == {"not_applicable": -1, "benign": 0, "malignant": 1}
+    assert h["origin"] == {"not_applicable": -1, "primary_hepatic": 0, "extrahepatic_metastatic": 1}
+    assert h["diagnosis_coarse"] == {"control": 0, "HH": 1, "HCC": 2, "ICC": 3, "cHCC-CCA": 4, "metastasis": 5}
+    assert h["diagnosis_fine"] == {"CN": 0, "HH": 1, "HCC": 2, "ICC": 3, "cHCC-CCA": 4, "CRLM": 5, "BCLM": 6}
+    assert doc["diagnosis_mapping"]["CHCC"] == "cHCC-CCA"
+
+
+def test_components_are_numbered_without_gaps(spark):
+    found = label_components(table(spark, cube(1, 0, 1) + cube(1, 3, 2) + cube(1, 8, 2) + cube(2, 0, 2)))
+    rows = components.numbered(drop_small(found, 2)).collect()
+    assert {(r.case_id, r.label): sum(x.label == r.label and x.case_id == r.case_id for x in rows) for r in rows} == {(1, 1): 8, (1, 2): 8, (2, 1): 8}
+
+
+def test_totals_of_marks_equal_those_of_masks(spark):
+    rng = random.Random(4)
+    rows = [(c, z, y, x, rng.random() < 0.3, rng.random() < 0.3) for c in (1, 2) for z in range(3) for y in range(3) for x in range(3)] + [(3, 0, 0, 0, False, False)]
+    v = spark.createDataFrame(rows, "case_id long, z int, y int, x int, gt boolean, pred boolean")
+    cases = spark.createDataFrame([(1,), (2,), (3,), (4,)], "case_id long")
+    a, b = (sorted(map(tuple, f.collect())) for f in (evaluation.case_totals_marked(cases, v), evaluation.case_totals(cases, v.where("gt"), v.where("pred"))))
+    assert a == b and a[2][-1] is None
+
+
+def test_merge_is_strict(spark):
+    m = spark.createDataFrame([(1, "a", "old"), (2, "b", "old")], "k int, name string, v string")
+    u = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
+    assert sorted(map(tuple, records.merged(m, u, ["k"]).collect())) == [(1, "a", "x"), (2, "b", "y")]
+    with pytest.raises(records.MissingRows):
+        records.merged(m, u.where("k <> 2"), ["k"])
+    with pytest.raises(ValueError, match="more than one"):
+        records.merged(m, u.union(u), ["k"])
+
+
+def test_stale_records_are_refused(spark):
+    rows = [("A", "1", True), ("A", "0", True), ("A", None, True), ("B", "0", True), ("A", "0", False)]
+    df = spark.createDataFrame(rows, "dataset string, pipeline_version string, complete boolean")
+    assert records.stale(df, "1", ["B"], F.col("complete")).count() == 2
+    with pytest.raises(records.StaleRecords, match="2 records"):
+        records.refuse_stale(df, "1", ["B"], F.col("complete"))
+    assert records.refuse_stale(df, "1", ["A", "B"]).count() == 5
+
 
+def grid(spark, rows):
+    return spark.createDataFrame(rows, "case_id long, size array<int>, spacing_mm array<double>, origin_mm array<double>")
 
-def test_stratification():
-    ratios = {"train": 0.7, "val": 0.1, "test": 0.2}
-    sets = label_sets(600, 1)
-    a, b = (splits.assign(sets, ratios, random.Random(s)) for s in (0, 0))
-    assert a == b and a != splits.assign(sets, ratios, random.Random(1))
-    for s, share in ratios.items():
-        own = [c for c in a if a[c] == s]
-        assert abs(len(own) / 600 - share) < 0.02
-        assert abs(sum("rare" in sets[c] for c in own) / sum("rare" in v for v in sets.values()) - share) < 0.06
-    assert set(splits.assign(sets, {"train": 0.0, "val": 0.0, "test": 1.0}, random.Random(0)).values()) == {"test"}
-
-
-def test_split_protocols(spark):
-    rows = [(c, labels, i % 5 == 0, i % 7 != 0) for i, (c, labels) in enumerate(label_sets(140, 2).items())]
-    df = spark.createDataFrame(rows, "case_id string, labels array<string>, small boolean, clean boolean")
-    ratios = {"train": 0.7, "val": 0.1, "test": 0.2}
-    got = {r.case_id: (r.subset, r.reason) for r in splits.split(df, ratios, small="small", clean="clean").collect()}
-    assert len(got) == 140
-    for c, _, small, clean in rows:
-        if not clean:
-            assert got[c] == ((None, "excluded") if small else ("train", "forced"))
-        elif small:
-            assert got[c][0] in ("val", "test")
-    with pytest.raises(ValueError):
-        splits.split(df, ratios, most_cases=10)
+
+def test_geometry_is_applied(spark):
+    v = spark.createDataFrame([(c, z, 0, 0, float(z)) for c in (1, 2, 3) for z in range(4)], "case_id long, z int, y int, x int, value double")
+    heads = grid(spark, [(c, [1, 1, 4], [1.0, 1.0, 5.0], [0.0] * 3) for c in (1, 2, 3)])
+    known = spark.createDataFrame([(1, [0.78, 0.78, 2.0], True), (2, [0.78, 0.78, 3.0], False)], "case_id long, spacing_mm array<double>, k_axis_flip boolean")
+    rows, out = volumes.apply_geometry(v, heads, known)
+    assert {r.case_id: r.spacing_mm[2] for r in out.collect()} == {1: 2.0, 2: 3.0, 3: 5.0}
+    assert {(r.case_id, r.z): r.value for r in rows.collect()} == {(c, 3 - z if c == 1 else z): float(z) for c in (1, 2, 3) for z in range(4)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_align_equals_brute_force(spark, seed):
+    rng = random.Random(seed)
+    own, ref = ([rng.randint(3, 7) for _ in range(3)] for _ in range(2))
+    gs, rs = ([rng.choice([0.5, 1.0, 1.5, 2.5]) for _ in range(3)] for _ in range(2))
+    go, ro = ([rng.choice([-1.0, 0.0, 0.75]) for _ in range(3)] for _ in range(2))
+    mask = {(z, y, x) for z in range(own[2]) for y in range(own[1]) for x in range(own[0]) if rng.random() < 0.4}
+    nearest = lambda k, a: math.floor((ro[a] + k * rs[a] - go[a]) / gs[a] + 0.5)
+    want = {(z, y, x) for z in range(ref[2]) for y in range(ref[1]) for x in range(ref[0]) if (nearest(z, 2), nearest(y, 1), nearest(x, 0)) in mask}
+    m = spark.createDataFrame([(1, *p) for p in mask], "case_id long, z int, y int, x int")
+    rows = volumes.align(m, grid(spark, [(1, own, gs, go)]), grid(spark, [(1, ref, rs, ro)])).collect()
+    assert len(rows) == len(want) and {(r.z, r.y, r.x) for r in rows} == want
+    assert {tuple(r)[1:] for r in volumes.align(m, grid(spark, [(1, own, gs, go)]), grid(spark, [(1, own, gs, go)])).collect()} == mask
+
+
+def test_fallback_mask_lies_as_the_volume_is_stored(spark):
+    seg = spark.createDataFrame([(c, z, 1, 1, v) for c in (1, 2) for z, v in ((0, 5.0), (1, 5.0), (2, 6.0))], "case_id long, z int, y int, x int, value double")
+    g = grid(spark, [(c, [3, 3, 4], [1.0] * 3, [0.0] * 3) for c in (1, 2)])
+    flips = spark.createDataFrame([(1, True), (2, False)], "case_id long, flip boolean")
+    mask, profile = volumes.fallback_mask(seg, g, g, 5, flips)
+    assert {(r.case_id, r.z) for r in mask.collect()} == {(1, 3), (1, 2), (2, 0), (2, 1)}
+    assert {r.case_id: (r.slices, r.first, r.last, r.z_extent) for r in profile.collect()} == {1: (2, 2, 3, 2), 2: (2, 0, 1, 2)}
+
+
+def test_smoothing_equals_convolution(spark):
+    size, spacing = {"z": 6, "y": 9, "x": 7}, {"z": 2.0, "y": 1.0, "x": 1.0}
+    v = np.zeros((6, 9, 7))
+    v[2:4, 5:9, 0:2] = 1
+    want = v
+    for axis, s in enumerate((0.75, 1.5, 1.5)):
+        k = registration.kernel(s)
+        want = np.apply_along_axis(lambda line, k=k: np.convolve(np.pad(line, len(k) // 2, mode="edge"), k, "valid"), axis, want)
+    mask = spark.createDataFrame([(1, *map(int, p)) for p in zip(*np.nonzero(v), strict=True)], "case_id long, z int, y int, x int")
+    got = np.zeros_like(v)
+    for r in registration.smoothed(mask, 1.5, spacing, size).collect():
+        got[r.z, r.y, r.x] = r.value
+    assert np.allclose(got, want, atol=2e-6)
+
+
+def test_shift_between_grid_centres(spark):
+    m = spark.createDataFrame([(1, "PVP", 2, 2, 2), (1, "AP", None, None, None)], "case_id long, phase string, z int, y int, x int")
+    sizes = spark.createDataFrame([(1, "PVP", 11, 5, 5), (1, "AP", 21, 5, 5)], "case_id long, phase string, z int, y int, x int")
+    s = {r.phase: (r.method, r.dz) for r in registration.initial_shifts(m, "PVP", {"z": 2.0, "y": 1.0, "x": 1.0}, sizes).collect()}
+    assert s == {"PVP": ("centroid", 0.0), "AP": ("geometry_centre", -10.0)}
+
+
+def test_candidates_without_dice(spark):
+    rows = [(1, "AP", "centroid", None, 0), (1, "AP", "rigid", None, 1), (2, "AP", "rigid", None, 1), (2, "AP", "bspline", 0.3, 2), (3, "AP", "bspline", 0.9, 2), (4, "AP", "affine", 0.85, 2), (4, "AP", "bspline", None, 3), (5, "AP", "rigid", 0.9, 1), (5, "AP", "bspline", 0.879, 2)]
+    c = spark.createDataFrame(rows, "case_id long, phase string, method string, dice double, place int")
+    got = {r.case_id: (r.method, r.dice, r.usable) for r in registration.select_candidate(c).collect()}
+    assert got == {1: ("centroid", None, False), 2: ("bspline", 0.3, False), 3: ("bspline", 0.9, True), 4: ("affine", 0.85, True), 5: ("rigid", 0.9, True)}

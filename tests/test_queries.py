@@ -7,10 +7,10 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
-    assert len(QUERIES) >= 110
+    assert set(QUERIES) - set(SQL) == {"split_assignment"}  # tests/test_splits.py
+    assert len(QUERIES) >= 115
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, name):
     check(spark, SF, QUERIES[name], SQL[name])
