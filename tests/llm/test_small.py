@@ -151,6 +151,16 @@ def test_codes_give_any_token():
             c.get(len(v))
 
 
+def test_runs_cover_all_documents(monkeypatch):
+    monkeypatch.setattr(token_files, "RUN", 10)
+    rng = random.Random(2)
+    for _ in range(100):
+        ends = np.cumsum([rng.choice([1, 2, 3, 25]) for _ in range(rng.randint(0, 30))])
+        runs = token_files.runs_of(ends)
+        assert [i for a, b in runs for i in range(a, b)] == list(range(len(ends)))
+        assert all(ends[b - 1] - (ends[a - 1] if a else 0) < 10 + 25 for a, b in runs)
+
+
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
 def test_cached_encoding_equals_the_tokenizer(path, kind):
     rng = random.Random(3)

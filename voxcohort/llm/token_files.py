@@ -35,6 +35,8 @@ MAGIC, RANK = b"DAC1", 512
 MOST_SENT = 100_000
 #: Tokens of a block, unless one document has more.
 BLOCK = 1 << 20
+#: Tokens of neighbouring documents that are read as one run.
+RUN = 1 << 14
 SCHEMA = "shard int, block int, shard_start bigint, doc_ids array<bigint>, lengths array<bigint>, codes binary"
 
 
@@ -93,12 +95,13 @@ class Codes:
             raise IndexError((a, b))
         slices = []
         for chunks, bitmap, ranks in self.levels:
-            if a == b:
-                break
             more = np.unpackbits(bitmap[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].view(bool)
             slices.append((chunks[a:b], more))
+            n = int(np.count_nonzero(more))
+            if not n:
+                break
             a = self._rank(bitmap, ranks, a)
-            b = a + int(np.count_nonzero(more))
+            b = a + n
         value = np.zeros(0, np.uint32)
         for chunks, more in reversed(slices):
             own = chunks.astype(np.uint32)
@@ -141,19 +144,24 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "word",
     ranged.mapInArrow(_write(tokenizer, kind, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 
+def runs_of(ends: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) numbers of neighbouring documents, last excluded, that are read as one run: RUN tokens or more, but
+    for the last run. `ends` are the documents' ends."""
+    cuts = np.unique(np.searchsorted(ends, np.arange(RUN, (ends[-1] if len(ends) else 0) + RUN, RUN)) + 1).clip(max=len(ends))
+    cuts = np.unique(np.concatenate([[0], cuts]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             codes, ends = Codes(row["codes"]), np.cumsum(row["lengths"])
-            starts = ends - row["lengths"]
+            starts, ids = ends - row["lengths"], []
+            for a, b in runs_of(ends):
+                data, at = codes.run(int(starts[a]), int(ends[b - 1])).astype("<u4", copy=False).tobytes(), (4 * (ends[a:b] - starts[a])).tolist()
+                ids += [data[i:j] for i, j in zip([0, *at[:-1]], at, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([row["shard"]] * len(ends), pa.int32()),
-                    pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(starts + row["shard_start"], pa.int64()),
-                    pa.array(row["lengths"], pa.int64()),
-                    pa.array([codes.run(a, b).astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                ],
+                [pa.array([row["shard"]] * len(ends), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(starts + row["shard_start"], pa.int64()), pa.array(row["lengths"], pa.int64()), pa.array(ids, pa.binary())],
                 names=["shard", "doc_id", "shard_start", "n_tokens", "ids"],
             )
 
@@ -171,8 +179,8 @@ def _bases(blocks: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit. Each
-    document is read as the run of tokens that it is."""
+    """(doc_id, start, n_tokens, ids) of every document in the files; ids are little-endian unsigned 32-bit.
+    Documents are read as the runs of tokens that they are, short ones together with their neighbours."""
     small_batches(spark)
     blocks = spark.read.schema(SCHEMA).parquet(path)
     bases, few = _bases(blocks)

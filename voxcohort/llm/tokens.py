@@ -103,23 +103,32 @@ class Encoder:
             self.older, self.cache = self.cache, {}
         cache, older = self.cache, self.older
         known = {text: i for i, text in reversed([*enumerate(texts)])}  # the first of equal texts
-        first = sorted(known.values())
-        plain = {i: self.kind in _WORDS and "<|" not in texts[i] and not _BEYOND.search(texts[i]) for i in first}
         # Vocabularies of kind "word" lower the case; doing so here makes fewer distinct words.
         cased = str.lower if self.kind == "word" else str
-        cut = {i: _WORDS[self.kind].findall(cased(texts[i])) if plain[i] else self.pieces(texts[i]) for i in first}
-        for ok, encode in ((True, self.words), (False, self.whole)):
-            missing = set().union(*[cut[i] for i in first if plain[i] == ok]) - cache.keys()
-            again = missing & older.keys()
+        # One look at the cache for each word; the places of words that it lacks are kept.
+        rows, missing = {}, (set(), set())
+        for i in sorted(known.values()):
+            text = texts[i]
+            plain = self.kind in _WORDS and "<|" not in text and not _BEYOND.search(text)
+            words = _WORDS[self.kind].findall(cased(text)) if plain else self.pieces(text)
+            ids = list(map(cache.get, words))
+            holes = [k for k, x in enumerate(ids) if x is None] if None in ids else ()
+            missing[plain].update([words[k] for k in holes])
+            rows[i] = (words, ids, holes)
+        long: list[str] = []
+        for found, encode in zip(missing, (self.whole, self.words), strict=True):
+            again = found & older.keys()
             cache.update((p, older[p]) for p in again)
-            new = list(missing - again)
+            new = list(found - again)
             cache.update(zip(new, encode(new), strict=True))
-        done = {i: b"".join(map(cache.__getitem__, cut[i])) for i in first}
-        for i in first:
-            if len(texts[i]) > LONGEST and max(map(len, cut[i]), default=0) > LONGEST:
-                for p in cut[i]:
-                    if len(p) > LONGEST:
-                        cache.pop(p, None)
+            long += [p for p in new if len(p) > LONGEST]
+        done = {}
+        for i, (words, ids, holes) in rows.items():
+            for k in holes:
+                ids[k] = cache[words[k]]
+            done[i] = b"".join(ids)
+        for p in long:
+            cache.pop(p, None)
         return [done[known[text]] for text in texts]
 
 
