@@ -1,7 +1,7 @@
 """Connected components of a table of links, by alternating large and small stars.
 
 Links are first contracted task by task: a part of them becomes a forest of stars with the same components, so chains
-within a part cost no round. Each round is then a pre-aggregated minimum and a join that broadcasts the centres of large stars; a round's links
+within a part cost no round. Each round is then a pre-aggregated minimum and a join that Spark may split; a round's links
 are a table in the shared folder. The number of rounds grows with the logarithm of the longest path between parts.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, durable, join_hot
+from .common import discard, durable
 
 #: Links that a task contracts at once.
 HELD = 1 << 18
@@ -67,8 +67,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while before[0]:
         # Large star: neighbours larger than u go to the smallest of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both, least, "u", "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
