@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import free_name, keep_only, small_batches
 
 PIECE, ALPHABET, SWEEPS = 128, 120, 4
+#: Pieces times languages that are parsed side by side, unless one text has more.
+GRID = 1 << 15
 GAP, PAD, OTHER, FIRST = 0, 1, 2, 3
 UNDEFINED = "und"
 
@@ -195,7 +197,15 @@ class Model:
         which = [i for i, ok in enumerate(lettered) if ok]
         if not which or not self.languages:
             return out
-        cost = self.phrases([known[i] for i in which]) * np.array(self.scale)
+        counts, held, pieces = [], [], 0
+        for i in which:
+            n = -(-len(known[i]) // PIECE)
+            if held and (pieces + n) * len(self.languages) > GRID:
+                counts.append(self.phrases(held))
+                held, pieces = [], 0
+            held.append(known[i])
+            pieces += n
+        cost = np.concatenate([*counts, self.phrases(held)]) * np.array(self.scale)
         for i, row in zip(which, cost, strict=True):
             best = int(np.argmin(row))
             second = np.partition(row, 1)[1] if len(row) > 1 else None
@@ -241,5 +251,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.array([{"lang": a, "score": b} for a, b in found], pa.struct([("lang", pa.string()), ("score", pa.float64())]))
 
     kept, found = [c for c in docs.columns if c not in ("lang_pred", "score")], free_name(docs, "found")
-    out = docs.select(*kept, predicted(F.col(text)).alias(found))
+    once = predicted.asNondeterministic()  # else a filter on the result would predict again
+    out = docs.select(*kept, once(F.col(text)).alias(found))
     return out.select(*kept, F.col(found)["lang"].alias("lang_pred"), F.col(found)["score"].alias("score"))
