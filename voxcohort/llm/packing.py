@@ -8,7 +8,9 @@ it. There are only as many sequences as the tokens need; a piece that fits nowhe
 lowest-cost sequence with any room. So a shard has less than one sequence of padding.
 
 Defined cases: a null text is empty; an empty document still has its end id; a null doc_id stays null; repeated rows are
-packed as often as they occur; an empty table gives no pieces; other columns are not returned.
+packed as often as they occur; an empty table gives no pieces; other columns are not returned. Which shard a document
+is dealt to follows its place in the input, so that many rows of one doc_id are spread; sequence ids thus depend on how
+the input is split, while pieces and fill do not.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty
 from .tokens import encoder
 
+#: Pieces of an Arrow batch, 2 MB with their ids at most.
+PIECES = 500
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -69,8 +73,8 @@ def _pack_shard(shard: int, docs: list[tuple], capacity: int, linear: float, qua
     for at, start, n, own, offset in assign([len(ids[i]) % capacity for i in rests], capacity, linear, quadratic):
         i = rests[at]
         rows.append((i, len(ids[i]) - len(ids[i]) % capacity + start, n, sequence + own, offset))
-    for a in range(0, len(rows), 4000):
-        part = rows[a : a + 4000]
+    for a in range(0, len(rows), PIECES):
+        part = rows[a : a + PIECES]
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": pa.array([docs[r[0]][0] for r in part], pa.int64()),
