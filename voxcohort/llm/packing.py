@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_or_empty
 from .tokens import encoder
 
+#: Shards that a task packs, one after the other, and the most tasks.
+TASK_SHARDS, MOST_TASKS = 16, 100_000
 #: Pieces of an Arrow batch, 2 MB with their ids at most.
 PIECES = 500
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -112,4 +114,5 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 0, c
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), F.monotonically_increasing_id().alias("r"))
     rows = rows.select(F.pmod(F.xxhash64("r", "doc_id"), F.lit(shards)).alias("shard"), "r", "doc_id", "text")
     ids = rows.mapInArrow(_encode(tokenizer, kind, end_id), "shard bigint, r bigint, doc_id bigint, ids binary")
-    return ids.repartition("shard").sortWithinPartitions("shard", "r").mapInArrow(_pack(capacity, linear, quadratic), SCHEMA)
+    tasks = min(MOST_TASKS, -(-shards // TASK_SHARDS))
+    return ids.repartition(tasks, "shard").sortWithinPartitions("shard", "r").mapInArrow(_pack(capacity, linear, quadratic), SCHEMA)
