@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import clamp as clamped
 from ..functions.scalars import int16, intensity, log_ratio, ratio
 from ..operators import estimators as S
+from ..operators import registration as R
+from ..operators import segmentation as G
 from .registry import query, read, rounded
-from .voxels import VOX, voxels
+from .voxels import VOX, cases, voxels
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -198,6 +200,67 @@ def patient_fusion(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.fuse(phases, "case_id"))
 
 
+#: Slices of a case and type with voxels of 50 or more stand for vertebrae, at levels in no order.
+_FOUND = f"""{VOX}, fv AS (SELECT case_id, event_type AS phase, z, (z * 5 + count(*)) % 13 + 1 AS place FROM vox WHERE value >= 50 GROUP BY 1, 2, 3),
+oc AS (SELECT a.case_id, a.phase, sum(CASE WHEN b.z > a.z THEN sign(a.place - b.place) ELSE 0 END)::BIGINT AS order_score FROM fv a JOIN fv b ON a.case_id = b.case_id AND a.phase = b.phase GROUP BY 1, 2),
+oa AS (SELECT case_id, phase, order_score, plausible, levels FROM oc JOIN (SELECT case_id, phase, count(*) FILTER (WHERE place BETWEEN 5 AND 11) AS plausible, count(*) AS levels FROM fv GROUP BY 1, 2) USING (case_id, phase))"""
+
+
+def consistencies(spark: SparkSession, d: str) -> DataFrame:
+    slices = voxels(spark, d).where("value >= 50").groupBy("case_id", F.col("event_type").alias("phase"), "z").agg(F.count("*").alias("n"))
+    level = F.get(F.array(*map(F.lit, S.LEVELS)), ((F.col("z") * 5 + F.col("n")) % 13).cast("int"))
+    return G.consistency(slices.select("case_id", "phase", "z", level.alias("level")), ["case_id", "phase"])
+
+
+@query(f"WITH {_FOUND} SELECT * FROM oa")
+def vertebra_consistency(spark: SparkSession, d: str) -> DataFrame:
+    """Order score, plausible levels and levels of every volume."""
+    return consistencies(spark, d)
+
+
+@query(f"""WITH {_FOUND}, f AS (SELECT case_id, coalesce(o.order_score, 0) AS s, coalesce(plausible, 0) AS p, coalesce(levels, 0) AS n FROM (SELECT DISTINCT case_id FROM vox) LEFT JOIN (SELECT * FROM oa WHERE phase = 'click') o USING (case_id)),
+k AS (SELECT f.case_id, b.case_id IS NOT NULL AS again, CASE WHEN b.case_id IS NULL THEN s ELSE b.order_score END AS s, CASE WHEN b.case_id IS NULL THEN p ELSE b.plausible END AS p, CASE WHEN b.case_id IS NULL THEN n ELSE b.levels END AS n
+  FROM f LEFT JOIN oa b ON b.case_id = f.case_id AND b.phase = 'purchase' AND b.case_id % 3 = 0 AND (b.order_score, b.plausible, b.levels) > (s, p, n)),
+t AS (SELECT k.*, o.case_id IS NOT NULL AS turned, o.order_score AS os, o.plausible AS op, o.levels AS ol FROM k LEFT JOIN oa o ON o.case_id = k.case_id AND o.phase = 'signup' AND k.s < 4 AND (o.order_score, o.plausible) > (k.s, k.p))
+SELECT case_id, CASE WHEN turned THEN 'other' WHEN again THEN 'second' ELSE 'first' END AS chosen, (case_id % 2 = 0) <> turned AS flip,
+CASE WHEN turned THEN 'totalsegmentator_vertebra_order_override' ELSE 'liver_profile+vertebra_order_' || CASE WHEN s >= 4 THEN 'confirmed' WHEN s > 0 THEN 'weakly_confirmed' ELSE 'unconfirmed' END END AS source,
+CASE WHEN turned THEN os ELSE s END AS order_score, CASE WHEN turned THEN op ELSE p END AS plausible, CASE WHEN turned THEN ol ELSE n END AS levels FROM t""")
+def segmentation_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Which pass of a volume is kept; one by the volume's guess is due for a third of the cases."""
+    kind = F.when(F.col("phase") == "click", "first").when((F.col("phase") == "purchase") & (F.col("case_id") % 3 == 0), "second").when(F.col("phase") == "signup", "other")
+    passes = consistencies(spark, d).withColumn("kind", kind).where("kind is not null")
+    return G.chosen_pass(passes, cases(spark, d).select("case_id", (F.col("case_id") % 2 == 0).alias("flip"), F.lit("liver_profile").alias("source")), ["case_id"])
+
+
+_GUESS = "least(7.0::DOUBLE, greatest(0.4::DOUBLE, {}))"
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS m, l_partkey % 300 AS v FROM lineitem), w AS (SELECT *, 170.0::DOUBLE / greatest(1.0::DOUBLE, round_even(v * 0.96::DOUBLE, 0)) AS whole FROM s),
+g AS (SELECT *, {_GUESS.format("CASE WHEN m >= 8 THEN 170.0::DOUBLE / m ELSE whole END")} AS guess, {_GUESS.format("whole")} AS by_volume FROM w)
+SELECT l_orderkey, l_linenumber, round(guess, 6) AS guess, CASE WHEN m >= 8 THEN 'released_liver_mask_extent' ELSE 'volume_slice_count' END AS source, round(by_volume, 6) AS by_volume, m >= 8 AND m < v * 0.4::DOUBLE AND abs(ln(by_volume / guess)) > ln(1.5::DOUBLE) AS second FROM g""")
+def spacing_guess(spark: SparkSession, d: str) -> DataFrame:
+    """Guessed mm a slice from the slices of a mask and of its volume, and whether the other guess is to be tried too."""
+    parts = G.guesses(F.col("l_quantity").cast("double"), F.col("l_partkey") % 300)
+    return rounded(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for c, n in zip(parts, ("guess", "source", "by_volume", "second"), strict=True)]))
+
+
+_CENTRES = ", ".join(f"avg(CASE WHEN kept THEN {a} * {s}::DOUBLE END) AS {a}, (any_value(size_{a}) - 1) * {s}::DOUBLE / 2 AS m{a}" for a, s in (("z", 2.5), ("y", 1.0), ("x", 1.5)))
+_SHIFTS = ", ".join(f"round(CASE WHEN c.z IS NOT NULL AND r.z IS NOT NULL THEN r.{a} - c.{a} ELSE r.m{a} - c.m{a} END, 6) + 0.0 AS d{a}" for a in "zyx")
+
+
+@query(f"""WITH {VOX}, k AS (SELECT *, value >= 60 AND NOT (event_type = 'click' AND case_id % 4 = 0) AS kept, 10 + length(event_type) AS size_z, 10 AS size_y, 10 + case_id % 3 * length(event_type) AS size_x FROM vox),
+c AS (SELECT case_id, event_type AS phase, {_CENTRES} FROM k GROUP BY 1, 2)
+SELECT c.case_id, c.phase, CASE WHEN c.z IS NOT NULL AND r.z IS NOT NULL THEN 'centroid' ELSE 'geometry_centre' END AS method, {_SHIFTS} FROM c JOIN c r ON c.case_id = r.case_id AND r.phase = 'view'""")
+def initial_shift(spark: SparkSession, d: str) -> DataFrame:
+    """First shift of every phase to the reference; some masks are empty."""
+    v = voxels(spark, d).withColumn("phase", F.col("event_type"))
+    kept = (F.col("value") >= 60) & ~((F.col("phase") == "click") & (F.col("case_id") % 4 == 0))
+    masks = v.select("case_id", "phase", *[F.when(kept, F.col(a)).alias(a) for a in R.AXES])
+    n = F.length("phase")
+    sizes = masks.select("case_id", "phase").distinct().select("case_id", "phase", (n + 10).alias("z"), F.lit(10).alias("y"), (F.col("case_id") % 3 * n + 10).alias("x"))
+    return rounded(R.initial_shifts(masks, "view", {"z": 2.5, "y": 1.0, "x": 1.5}, sizes))
+
+
 @query("SELECT event_id, json_extract(props, '$.k')::INT AS k, json_extract(props, '$.none')::VARCHAR AS missing, json_object('id', event_id, 'k', json_extract(props, '$.k')::INT)::VARCHAR AS encoded FROM events")
 def json_props_extract(spark: SparkSession, d: str) -> DataFrame:
     parsed = read(spark, d, "events").select("event_id", F.from_json("props", "k int, none string").alias("p"))
