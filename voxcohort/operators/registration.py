@@ -63,9 +63,9 @@ def blurred(volume: np.ndarray, sigmas: list[float]) -> np.ndarray:
     return volume
 
 
-def smoothed(mask: DataFrame, sigma_mm: float, spacing: dict[str, float], size: dict[str, int]) -> DataFrame:
+def smoothed(mask: DataFrame, sigma_mm: float, spacing: dict[str, float], size: dict[str, int], precision: type = np.float32) -> DataFrame:
     """Gaussian of each case's mask over its grid (case_id, z, y, x, value), values over 1e-6. One case a task; only the
-    box that the mask can reach is dense, in single precision."""
+    box that the mask can reach is dense, in `precision`."""
     sigmas = [sigma_mm / spacing[a] for a in AXES]
     reach = np.array([int(np.ceil(4 * s)) for s in sigmas])
     whole = np.array([size[a] for a in AXES])
@@ -74,7 +74,7 @@ def smoothed(mask: DataFrame, sigma_mm: float, spacing: dict[str, float], size:
     def run(table: pa.Table) -> pa.Table:
         at = np.stack([table.column(a).to_numpy() for a in AXES], axis=1).astype(np.int64)
         low, high = np.maximum(at.min(axis=0) - reach, 0), np.minimum(at.max(axis=0) + reach + 1, whole)
-        v = np.zeros(high - low, dtype=np.float32)
+        v = np.zeros(high - low, dtype=precision)
         v[tuple((at - low).T)] = 1
         v = blurred(v, sigmas)
         found = np.nonzero(v > 1e-6)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import estimators as S
+from ..operators import registration as R
 from ..operators import volumes as V
 from .registry import query, rounded
 from .voxels import VOX, cases, voxels
@@ -141,3 +145,16 @@ def fallback_choice(spark: SparkSession, d: str) -> DataFrame:
     place = F.nullif(F.array_position(vocabulary, F.col("event_type")), F.lit(0))
     f = voxels(spark, d).groupBy("case_id").agg(F.min(F.when(F.col("value") >= 250, place)).alias("k"), F.count_if(F.expr("gt and value >= 200")).alias("liver"), F.count_if(F.expr("pred and value >= 150")).alias("tumour"))
     return f.select("case_id", F.try_element_at(vocabulary, F.col("k").cast("int")).alias("reference"), F.when(F.col("liver") > 0, "liver_and_tumour").when(F.col("tumour") > 0, "tumour").otherwise("full_volume").alias("crop_basis"))
+
+
+def _blur(source: str, axis: str, sigma: float) -> str:
+    reach, own = math.ceil(4 * sigma), [f"h.{a} = " + (f"least(9, greatest(0, g.{a} + j))" if a == axis else f"g.{a}") for a in "zyx"]
+    weights = f"(SELECT j, w / sum(w) OVER () AS w FROM (SELECT j, exp(-0.5::DOUBLE * pow(j / {sigma}::DOUBLE, 2)) AS w FROM range({-reach}, {reach + 1}) t(j)))"
+    return f"SELECT g.case_id, g.z, g.y, g.x, sum(w * h.v) AS v FROM {source} g, {weights} k JOIN {source} h ON h.case_id = g.case_id AND {' AND '.join(own)} GROUP BY 1, 2, 3, 4"
+
+
+@query(f"""WITH {VOX}, g0 AS (SELECT cs.case_id, a.i::INT AS z, b.i::INT AS y, c.i::INT AS x, coalesce(gt, false)::INT::DOUBLE AS v FROM cs, range(10) a(i), range(10) b(i), range(10) c(i) LEFT JOIN vox ON vox.case_id = cs.case_id AND vox.z = a.i AND vox.y = b.i AND vox.x = c.i),
+g1 AS ({_blur("g0", "z", 1.6)}), g2 AS ({_blur("g1", "y", 4.0)}), g3 AS ({_blur("g2", "x", 4.0)}) SELECT case_id, z, y, x, round(v, 6) AS value FROM g3 WHERE v > 1e-6""")
+def smooth_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Masks after a Gaussian of 4 mm."""
+    return rounded(R.smoothed(voxels(spark, d).where("gt"), 4.0, SPACING, SIZE, np.float64))
