@@ -127,3 +127,10 @@ def test_choice_among_passes(spark):
         "sure": ("first", True, G.SURE, 4), "second": ("second", True, G.SURE, 4), "tie": ("first", True, G.WEAKLY, 3), "more": ("second", True, G.WEAKLY, 4),
         "turned": ("other", False, G.OVERRIDE, 3), "same": ("first", True, G.WEAKLY, 3), "fallen": ("first", True, G.NOT, 2), "void": ("other", False, G.OVERRIDE, 0), "none": ("first", True, G.NOT, 0),
     }
+
+
+def test_masks_of_a_voxel_or_a_line():
+    size = np.array(list(SIZE.values()))
+    for fixed, moving in (([[5, 5, 5]], [[9, 8, 7]]), ([[0, 0, 0]], [[29, 39, 39]]), ([[i, 5, 5] for i in range(9)], [[i + 3, 6, 5] for i in range(9)])):
+        fixed, moving = np.array(fixed), np.array(moving)
+        assert A.overlap(fixed, moving, MM, size, *A.fitted(fixed, moving, MM, True)) == 1
