@@ -81,13 +81,13 @@ def interpolated(profile: Column, samples: int = SAMPLES) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), at)
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays of one length; 0 where either is constant."""
+def correlation(a: Column, b: Column, constant: float = 0.0) -> Column:
+    """Pearson correlation of two arrays of one length; `constant` where either is constant."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
     centred = lambda x: let(total(x) / F.size(x), lambda m: F.transform(x, lambda v: v - m))
     product = lambda x, y: total(F.zip_with(x, y, lambda p, q: p * q))
     both = F.struct(centred(a).alias("a"), centred(b).alias("b"))
-    return let(both, lambda s: F.coalesce(F.try_divide(product(s["a"], s["b"]), F.sqrt(product(s["a"], s["a"]) * product(s["b"], s["b"]))), F.lit(0.0)))
+    return let(both, lambda s: F.coalesce(F.try_divide(product(s["a"], s["b"]), F.sqrt(product(s["a"], s["a"]) * product(s["b"], s["b"]))), F.lit(constant)))
 
 
 def trimmed(profile: Column) -> Column:
@@ -97,12 +97,12 @@ def trimmed(profile: Column) -> Column:
     return F.when(first.isNull(), F.slice(profile, 1, 0)).otherwise(F.slice(profile, first + 1, last - first + 1))
 
 
-def compared(profiles: DataFrame, key: str, preferred: str, vocabulary: tuple[str, ...] = ()) -> DataFrame:
+def compared(profiles: DataFrame, key: str, preferred: str, vocabulary: tuple[str, ...] = (), constant: float = 0.0) -> DataFrame:
     """`profiles` (key, phase, profile: trimmed) with usable, reference, direct, reversed and relative_flip.
 
     The reference is the preferred phase if it is usable, else the longest usable one, ties to the first of the vocabulary, or by name. A phase
     runs the other way round if its reversed profile is clearly more like the reference. Nulls where there is nothing to
-    compare.
+    compare. Constant profiles have `constant` both ways, 0 or NaN, and are not turned.
     """
     usable = F.size("profile") >= MIN_SLICES
     place = F.array_position(F.array(*map(F.lit, vocabulary)), F.col("phase")) if vocabulary else F.lit(0)
@@ -113,18 +113,18 @@ def compared(profiles: DataFrame, key: str, preferred: str, vocabulary: tuple[st
     rows = rows.join(model, [key, "reference"], "left")
     asked = F.col("usable") & (F.col("phase") != F.col("reference"))
     pair = F.when(asked, F.struct(interpolated(F.col("profile")).alias("a"), interpolated(F.col("model")).alias("b")))
-    found = rows.withColumn("pair", pair).withColumn("direct", F.when(asked, correlation(F.col("pair.a"), F.col("pair.b")))).withColumn("reversed", F.when(asked, correlation(F.reverse("pair.a"), F.col("pair.b"))))
+    found = rows.withColumn("pair", pair).withColumn("direct", F.when(asked, correlation(F.col("pair.a"), F.col("pair.b"), constant))).withColumn("reversed", F.when(asked, correlation(F.reverse("pair.a"), F.col("pair.b"), constant)))
     flip = F.coalesce(F.col("reversed") > F.col("direct") + RELATIVE_MARGIN, F.lit(False))
     return found.drop("pair", "model").withColumn("relative_flip", flip)
 
 
-def orientation(profiles: DataFrame, key: str, preferred: str, vocabulary: tuple[str, ...] = ()) -> DataFrame:
+def orientation(profiles: DataFrame, key: str, preferred: str, vocabulary: tuple[str, ...] = (), constant: float = 0.0) -> DataFrame:
     """Per phase whether the stored slice order must be reversed (see `compared`).
 
     All usable profiles of a patient vote on the reference's order by their margins, those that run the other way round
     with the sign turned; no evidence either way counts as reversed. Without any usable profile all phases are reversed.
     """
-    rows = compared(profiles, key, preferred, vocabulary).withColumn("margin", F.when(F.col("usable"), asymmetry(F.col("profile"))).otherwise(0.0))
+    rows = compared(profiles, key, preferred, vocabulary, constant).withColumn("margin", F.when(F.col("usable"), asymmetry(F.col("profile"))).otherwise(0.0))
     vote = F.when(F.col("relative_flip"), -F.col("margin")).otherwise(F.col("margin"))
     # Summed in the order of phases, so that a vote of exactly 0 is 0 on every run.
     votes = rows.where("usable").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("phase", vote.alias("v")))).alias("votes"))  # a phase each
