@@ -51,19 +51,29 @@ def resample_nearest(volume: DataFrame, cases: DataFrame, counts: dict[str, int]
 
 
 def resample_linear(volume: DataFrame, cases: DataFrame, counts: dict[str, int], steps: dict[str, float], fill: float) -> DataFrame:
-    """Trilinear blend of the eight corners around index * step, in one interpolation; `fill` outside the grid."""
-    target = points(cases.select("case_id"), counts)
-    weight = F.lit(1.0)
-    for a in AXES:
-        at = F.col(a) * F.lit(float(steps[a]))
-        target = target.withColumn(f"d{a}", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(f"s{a}", (F.floor(at) + F.col(f"d{a}")).cast("int"))
-        part = at - F.floor(at)
-        weight = weight * F.when(F.col(f"d{a}") == 1, part).otherwise(1 - part)
-    target = target.withColumn("weight", weight).where("weight > 0")
-    source = volume.select("case_id", *[F.col(a).alias(f"s{a}") for a in AXES], "value")
-    found = target.join(source, ["case_id", "sz", "sy", "sx"], "left")
-    out = found.groupBy("case_id", *AXES).agg(F.sum(F.col("weight") * F.col("value")).alias("blend"), F.count_if(F.col("value").isNull()).alias("missing"))
-    return out.select("case_id", *AXES, F.when(F.col("missing") == 0, F.col("blend")).otherwise(F.lit(fill)).alias("value"))
+    """Trilinear blend of the eight corners around index * step, in one interpolation; `fill` outside the grid.
+
+    A voxel says which points it is a corner of, so its share is added up where it is read and no corner is looked up. The
+    points of `cases` join those sums; they are made in as many tasks as a shuffle has, as a list of cases may lie in one.
+    Each corner is a bit, so a point that lacks one shows, whatever rows a voxel has.
+    """
+    shares, weight, corner, wanted = volume.select("case_id", *[F.col(a).alias(f"s{a}") for a in AXES], "value"), F.lit(1.0), F.lit(1), F.lit(1)
+    for n, a in enumerate(AXES):
+        s, step, last = F.col(f"s{a}"), F.lit(float(steps[a])), F.lit(counts[a] - 1)
+        low, high = F.greatest(F.lit(0), F.floor((s - 1) / step).cast("int") - 1), F.least(last, F.ceil((s + 1) / step).cast("int") + 1)
+        span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        at = F.col(a) * step
+        part, upper = at - F.floor(at), s - F.floor(at)
+        shares = shares.withColumn(a, F.explode(span)).where((upper == 0) | (upper == 1) & (part > 0))
+        weight = weight * F.when(upper == 1, part).otherwise(1 - part)
+        corner = corner * F.when(upper == 1, 1 << (1 << n)).otherwise(1)
+        wanted = wanted * F.when(part > 0, 1 + (1 << (1 << n))).otherwise(1)
+    blend, met = F.sum(weight * F.col("value")).alias("blend"), F.bit_or(corner).alias("met")
+    found = shares.groupBy("case_id", *AXES).agg(blend, met, F.bool_or(F.col("value").isNull()).alias("empty"))
+    tasks = int(cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    target = points(cases.select("case_id").repartition(tasks, "case_id"), counts)
+    whole = ~F.col("empty") & (F.col("met") == wanted)
+    return target.join(found, ["case_id", *AXES], "left").select("case_id", *AXES, F.when(whole, F.col("blend")).otherwise(F.lit(fill)).alias("value"))
 
 
 def dilate(mask: DataFrame, radius: int, size: dict[str, int]) -> DataFrame:
