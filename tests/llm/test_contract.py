@@ -104,6 +104,33 @@ def test_media_of_odd_tables(spark):
     assert len(rows) == 2 and all(bytes(r.stream.payload) == b"x" and bytes(r.media) == media.mux(b"x") for r in rows)
 
 
+def batches_read(df):
+    """Batches that the Parquet readers of a collected table handed on."""
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "ColumnarToRow":
+            n += node.metrics().apply("numInputBatches").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return n
+
+
+def test_media_reads_few_rows_at_once(spark, tmp_path):
+    rows, name = 513, "spark.sql.parquet.columnarReaderBatchSize"
+    spark.range(rows).select(F.encode(F.repeat(F.lit("x"), (F.col("id") % 7).cast("int")), "utf-8").alias("p")).coalesce(1).write.parquet(f"{tmp_path}/p")
+    spark.conf.unset(name)
+    try:
+        for make in (lambda df: media.store(df, F.col("p")), lambda df: media.read(df, F.col("p"))):
+            df = make(spark.read.parquet(f"{tmp_path}/p"))
+            assert len(df.collect()) == rows and batches_read(df) == 3
+            spark.conf.unset(name)
+        spark.conf.set(name, "64")
+        common.short_reads(spark)
+        assert spark.conf.get(name) == "64"
+    finally:
+        spark.conf.unset(name)
+
+
 def plain_removal(rows, length):
     names = [[xxhash.xxh3_64_intdigest(t[i : i + length]) for i in range(len(t) - length + 1)] for t in rows]
     seen = Counter(n for own in names for n in own)

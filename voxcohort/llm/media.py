@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import short_reads, small_batches
 
 # Fixed values of the format (ISO/IEC 13818-1).
 PACKET, SYNC, PAT_PID, NULL_PID = 188, 0x47, 0x0000, 0x1FFF
@@ -204,6 +204,7 @@ def demux(media: bytes) -> Stream:
 def store(df: DataFrame, payload: Column, name: str = "media") -> DataFrame:
     """`df` with the payload's stored form in column `name`."""
     small_batches(df.sparkSession)
+    short_reads(df.sparkSession)
 
     @F.arrow_udf("binary")
     def stored(payloads: pa.Array) -> pa.Array:
@@ -221,6 +222,7 @@ SCHEMA = "struct<payload:binary,packets:bigint,tables:bigint,errors:bigint,times
 def read(df: DataFrame, media: Column, name: str = "stream") -> DataFrame:
     """`df` with a struct column `name`: the payload read back, counts, timestamps and random-access points."""
     small_batches(df.sparkSession)
+    short_reads(df.sparkSession)
 
     def row(found: Stream) -> dict:
         return vars(found) | {"access": [{"pts": a, "packet": b} for a, b in found.access]}
