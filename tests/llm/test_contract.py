@@ -156,6 +156,20 @@ def test_suffix_dedup(spark, folder, monkeypatch, small):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op7_suffix_dedup"](spark, folder).collect()} == want
 
 
+def test_planted_passages_go_by_bytes(spark, tmp_path):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    prose = lambda n: " ".join(word(6) for _ in range(n))
+    # 60 words and a last one that makes up the bytes; other letters stand before and after each copy
+    passages = {size: (p := " ".join(word(5) for _ in range(60))) + " " + word(size - len(p) - 1) for size in (390, 399, 400, 401, 500)}
+    planted = [(f"{prose(80)} {a}{p}{b} {prose(80)}", size) for size, p in passages.items() for a, b in ("AB", "CD", "EF")]
+    rows = [(i, t) for i, (t, _) in enumerate(planted)] + [(100 + i, prose(200)) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in QUERIES["op7_suffix_dedup"](spark, str(tmp_path)).collect()}
+    want = {i: (size, 1) if size >= 400 else (0, 0) for i, (_, size) in enumerate(planted)}
+    assert got == want | {100 + i: (0, 0) for i in range(20)}
+
+
 def plain_phrases(model, sample, text, chars):
     """How many longest matches a text falls into, by plain search."""
     spell = lambda t, n=None: model.spelled(language.symbols(t, model.classes)[:n]).tolist()
