@@ -170,6 +170,35 @@ def test_cached_encoding_equals_the_tokenizer(path, kind):
     assert e.encode(texts) == e.whole(texts) and e.encode(texts[:50]) == e.whole(texts[:50])
 
 
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_new_words_are_cut_once(path, kind):
+    """Words that the patterns have cut go to the model as they are; the tokenizer does not cut them a second time."""
+    e, asked = tokens.Encoder(path, kind), []
+    whole = e.whole
+    e.whole = lambda texts: asked.extend(texts) or whole(texts)
+    texts = ["The Öre, 12 \xb2ï 'twas\n\n it's  porosllosmente\t!!", "Ça ŵ\n", ""]
+    assert e.encode(texts) == whole(texts) and not asked
+
+
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte"), (WORD, "word")])
+def test_letters_whose_lower_case_is_of_another_block(path, kind):
+    e = tokens.Encoder(path, kind)
+    texts = [f"{a}{c}{b}" for c in map(chr, range(0x250)) for a, b in (("a", "b"), ("", "a c"), ("x ", " y"))]
+    assert e.encode(texts) == e.whole(texts)
+
+
+def test_a_tokenizer_that_changes_words_is_asked_itself(tmp_path):
+    from tokenizers import Tokenizer
+    from tokenizers.normalizers import Lowercase
+
+    t = Tokenizer.from_file(BYTE)
+    t.normalizer = Lowercase()
+    t.save(str(tmp_path / "lower.json"))
+    e = tokens.Encoder(str(tmp_path / "lower.json"), "byte")
+    texts = ["One TWO three", "TWO"]
+    assert e.encode(texts) == e.whole(texts)
+
+
 def brute_lines(rows, min_docs=3, min_chars=20):
     keep, held = {}, {}
     key = lambda line: line.encode().strip(b" \t\n\x0b\x0c\r").lower().decode()
