@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ PIECE, ALPHABET, SWEEPS = 128, 120, 4
 GRID = 1 << 15
 GAP, PAD, OTHER, FIRST = 0, 1, 2, 3
 UNDEFINED = "und"
+#: Tasks that gather counts and samples, few rows for each label, whatever the number of shuffle partitions.
+GATHERED = 16
 
 
 def letters() -> np.ndarray:
@@ -87,7 +90,8 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
 
 
 class Model:
-    """Transition table of all languages' automata, one after the other."""
+    """Transitions of all languages' automata, one after the other. Their table is made where it is first used and is not
+    pickled, so that the driver holds and sends the transitions only."""
 
     def __init__(self, samples: dict[str, list[str]], chars_per_doc: int, model_cells: int):
         own, is_letter = sorted(samples), letters()
@@ -104,23 +108,32 @@ class Model:
         for i, c in enumerate(rare):
             self.classes[ord(c)] = self.width + i
         most = max(1, model_cells // max(1, 2 * self.width * len(own)))  # an automaton has under 2 states a symbol
-        self.languages, self.roots, sizes, tables, at = own, [], [], [], 0
+        self.languages, self.roots, sizes, cells, moves, at = own, [], [], [], [], 0
         for name in own:
             parts = [np.append(self.spelled(symbols(t, self.classes)[:chars_per_doc]), GAP) for t in samples[name]]
             text = np.concatenate(parts)[:most] if parts else np.zeros(0, np.uint8)
             go = automaton(text)
-            table = np.full((len(go), self.width), -1, dtype=np.int32)
-            for state, moves in enumerate(go):
-                for c, to in moves.items():
-                    table[state, c] = at + to
-            table[:, OTHER] = -1
-            table[:, PAD] = np.arange(len(go)) + at
-            tables.append(table)
+            n = sum(map(len, go))
+            cells.append(np.fromiter((state * self.width + c for state, steps in enumerate(go, at) for c in steps), np.int64, n).astype(np.int32))
+            moves.append(np.fromiter((to + at for steps in go for to in steps.values()), np.int32, n))
             self.roots.append(at)
             sizes.append(len(text))
             at += len(go)
         self.scale = [math.log2((n if 2 * n >= max(sizes) else max(sizes)) + 2) for n in sizes]
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+        self.states = at
+        self.cells, self.moves = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (cells, moves))
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """For each state and symbol the state after it, or -1."""
+        table = np.full((self.states, self.width), -1, dtype=np.int32)
+        table.ravel()[self.cells] = self.moves
+        table[:, OTHER] = -1
+        table[:, PAD] = np.arange(self.states)
+        return table.ravel()
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
 
     def spelled(self, found: np.ndarray) -> np.ndarray:
         """`found` with each rare letter as digits of its number, the first of them from symbols of its own."""
@@ -221,7 +234,7 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, training: Column, docs_per_language: int = 60, chars_per_doc: int = 600, model_cells: int = 24_000_000) -> Model:
     """Learn from rows where `training` is true and lang is not null; only the sample reaches the driver."""
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("lang").cast("string").alias("lang"), "text", "doc_id")
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each label
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).coalesce(GATHERED).collect()}  # a row for each label
     if not counts:
         return Model({}, chars_per_doc, model_cells)
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(23)), 11) / F.lit(float(1 << 53))
@@ -233,7 +246,8 @@ def fit(docs: DataFrame, training: Column, docs_per_language: int = 60, chars_pe
         drawn = drawn.where(F.col("u") < F.coalesce(share, F.lit(1.0)))
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id", "text"))).where(F.col("rank") <= docs_per_language)
     samples: dict[str, list[str]] = {}
-    for r in ranked.select("lang", "rank", F.substring("text", 1, 4 * chars_per_doc).alias("text")).orderBy("lang", "rank").collect():
+    sample = ranked.select("lang", "rank", F.substring("text", 1, 4 * chars_per_doc).alias("text")).coalesce(GATHERED).collect()
+    for r in sorted(sample, key=lambda r: r.rank):
         samples.setdefault(r.lang, []).append(r.text)
     return Model(samples, chars_per_doc, model_cells)
 
